@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.operators import hierarchy as H
+from lorekeep.operators import nested as N
 from lorekeep.sources.tables import canonical_uuid, table
 
 
@@ -29,3 +30,32 @@ def p1_paths(spark: SparkSession, folder: str) -> DataFrame:
 def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
     """Each record above others: every descendant with its distance."""
     return H.descendants(H.hierarchy(record_nodes(spark, folder), trails=True))
+
+
+def _exports(spark: SparkSession, folder: str, only_items: bool = False) -> DataFrame:
+    t = table(spark, folder, "session_exports").select("export_id", "exported_at", "payload")
+    if only_items:  # the parse then extracts nothing but keys and items
+        return N.nested_records(t, {}, {n: (p, dict(list(c.items())[:1])) for n, (p, c) in N.CHILDREN.items()})
+    return N.nested_records(t)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records and their children in the latest readable export of each session: session_id, record_id, child, ordinal, item."""
+    return N.all_items(_exports(spark, folder, only_items=True))
+
+
+def p3_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat table of records: keys, position, type, time, title, description, parent, author."""
+    return _exports(spark, folder).select("session_id", "record_id", "ordinal", *[c for c in N.RECORD_FIELDS if c != "id"])
+
+
+def p3_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return N.child_rows(_exports(spark, folder), "typed_entity")
+
+
+def p3_relationships(spark: SparkSession, folder: str) -> DataFrame:
+    return N.child_rows(_exports(spark, folder), "relationship")
+
+
+def p3_code(spark: SparkSession, folder: str) -> DataFrame:
+    return N.child_rows(_exports(spark, folder), "code")
