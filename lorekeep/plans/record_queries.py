@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.operators import drift as D
 from lorekeep.operators import hierarchy as H
 from lorekeep.operators import nested as N
 from lorekeep.sources.tables import canonical_uuid, table
@@ -59,3 +60,23 @@ def p3_relationships(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_code(spark: SparkSession, folder: str) -> DataFrame:
     return N.child_rows(_exports(spark, folder), "code")
+
+
+def _feeds(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "record_feeds").select("series", "file_name", "exported_at", "line_no", "payload")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes of record fields from file to file: file_name, change, old_path, new_path."""
+    return D.drift(_feeds(spark, folder)).select("file_name", "change", "old_path", "new_path")
+
+
+def p2_lifespans(spark: SparkSession, folder: str) -> DataFrame:
+    """The column lifespan catalogue: series, path, kind, first_file, last_file, files."""
+    return D.lifespans(_feeds(spark, folder))
+
+
+def p2_records(spark: SparkSession, folder: str) -> DataFrame:
+    """All records of all files in one table, renamed fields under their first names; extra fields as JSON text."""
+    feeds = _feeds(spark, folder)
+    return D.unified(feeds, D.drift(feeds)).withColumn("extra", F.to_json("extra"))
