@@ -239,20 +239,36 @@ RECORD_SCHEMA = ["id", "timestamp", "update_type", "content.title", "content.des
 def alias_table(feeds: DataFrame, changes: DataFrame) -> DataFrame:
     """Of each file the names that stand for other fields: file_name, aliases (map of a path in the file to its first name).
 
-    Renames are followed back in a series; a path that was known before under a name of the record schema gets that.
+    Renames are followed back in a series; a field that has a name of the record schema in any of its files gets that.
     A series' renames (a few a file) are folded in the order of its files.
     """
     files = numbered_files(feeds)
+    schema_names = {*RECORD_SCHEMA, "content", "related_code"}
     renames = changes.where("change = 'renamed'").select("file_name", "old_path", "new_path")
     per_file = files.join(renames, "file_name", "left").groupBy("series", "at", "file_name").agg(F.array_compact(F.collect_list(F.when(F.col("new_path").isNotNull(), F.struct("old_path", "new_path")))).alias("moves"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         known: dict[str, str] = {}
-        out = []
+        proper: dict[str, str] = {}
+        steps = []
         for name, moves in zip(*(pdf.sort_values("at")[c] for c in ("file_name", "moves"))):
-            fresh = {m["new_path"]: known.get(m["old_path"], m["old_path"]) for m in moves}
-            known = {k: v for k, v in known.items() if k not in {m["old_path"] for m in moves}} | fresh
-            out.append((name, dict(known)))
+            gone = {m["old_path"]: m["new_path"] for m in moves}
+            after = {k: v for k, v in known.items() if k not in gone}
+            for k, v in known.items():  # what lies in a renamed object moves with it
+                for old, new in gone.items():
+                    if k.startswith(old + "."):
+                        after.pop(k, None)
+                        after[new + k[len(old) :]] = v
+            known = after | {new: known.get(old, old) for old, new in gone.items()}
+            for k, v in known.items():
+                for form in (k, v):
+                    if form.removeprefix(SESSION_PREFIX) in schema_names:
+                        proper.setdefault(v, form)
+            steps.append((name, dict(known)))
+        out = []
+        for name, aliases in steps:
+            firsts = {k: proper.get(v, v) for k, v in aliases.items()} | {v: p for v, p in proper.items() if v != p and v not in aliases}
+            out.append((name, firsts))
         return pd.DataFrame(out, columns=["file_name", "aliases"])
 
     return per_file.groupBy("series").applyInPandas(run, "file_name string, aliases map<string,string>")
