@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import leaks, tokens
+from lorekeep.llm import dialogues, leaks, tokens
 from lorekeep.sources.tables import canonical_uuid, table
 
 
@@ -35,8 +35,22 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).where(F.col("verbatim") >= leaks.WINDOW).select("doc_id", "item_id")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations to drop: session_id, source_session, defect."""
+    t = dialogues.assigned(dialogues.turns(table(spark, folder, "messages")))
+    return dialogues.defects(t).where("defect is not null").select("session_id", F.col("conv").alias("source_session"), "defect")
+
+
+def p5_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Kept conversations, each root-to-leaf path in order: session_id, source_session, leaf, ordinal, turn_id, speaker, seq, text."""
+    messages = table(spark, folder, "messages")
+    steps = dialogues.conversations(messages).withColumnRenamed("conv", "source_session")
+    said = messages.groupBy("session_id", "turn_id").agg(F.min_by("text", F.struct("seq", "ingested_at")).alias("text"))
+    return steps.join(said, ["session_id", "turn_id"]).select("session_id", "source_session", "leaf", "ordinal", "turn_id", "speaker", "seq", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_leaks, p7_found)}
+    return {f.__name__: f for f in (p5_found, p5_conversations, p6_ids, p7_leaks, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
