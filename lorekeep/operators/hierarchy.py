@@ -215,3 +215,24 @@ def latest_by(df: DataFrame, key: Column, order: Column, *kept: str) -> DataFram
     """One row a key, the one latest in `order`; aggregated before the shuffle. Null keys are left out."""
     best = df.where(key.isNotNull()).groupBy(key.alias("id")).agg(F.max_by(F.struct(*kept), order).alias("x"))
     return best.select("id", *[F.col(f"x.{k}").alias(k) for k in kept])
+
+
+def components(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """Connected components of undirected edges (a, b): id, component (the smallest id of it).
+
+    Every node links to its smallest neighbour if that is smaller than itself; such links form a forest, which
+    `close_links` contracts to roots; edges between roots remain and go round again. The rounds number the logarithm
+    of the nodes at most. Nulls and self edges are left out; nodes without edges have no row.
+    """
+    both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    nodes = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
+    left = both
+    while not left.isEmpty():
+        links = left.groupBy("a").agg(F.min("b").alias("up")).where("up < a").select(F.col("a").alias("id"), "up", F.lit(1).cast("bigint").alias("far"))
+        roots = materialise(close_links(links, task_links).select(F.col("id").alias("was"), "root"))
+        nodes = nodes.join(roots, F.col("component") == F.col("was"), "left").select("id", F.coalesce("root", "component").alias("component"))
+        nodes = materialise(nodes)
+        ra, rb = roots.select(F.col("was").alias("a"), F.col("root").alias("ra")), roots.select(F.col("was").alias("b"), F.col("root").alias("rb"))
+        left = materialise(left.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct())
+    return nodes
