@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import dialogues, leaks, tokens
+from lorekeep.llm import dialogues, leaks, residue, tokens
 from lorekeep.sources.tables import canonical_uuid, table
 
 
@@ -49,8 +49,18 @@ def p5_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return steps.join(said, ["session_id", "turn_id"]).select("session_id", "source_session", "leaf", "ordinal", "turn_id", "speaker", "seq", "text")
 
 
+def p8_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its residue labels: doc_id, placeholder, filler, page, spread."""
+    return residue.labelled(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents to exclude: doc_id."""
+    return p8_labels(spark, folder).where("placeholder or filler or page or spread").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_conversations, p6_ids, p7_leaks, p7_found)}
+    return {f.__name__: f for f in (p5_found, p5_conversations, p6_ids, p7_leaks, p7_found, p8_labels, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
