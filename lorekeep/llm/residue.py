@@ -47,7 +47,7 @@ PLACEHOLDERS = [
     r"\[[^\[\]\n]{1,40}\s(?:goes here|here)\](?!\()",  # [name goes here]
     r"\[(?:TBD|TODO|TBA|TK|FIXME)\b[^\[\]\n]{0,40}\](?!\()",  # [TBD: name]
     r"(?<!\w)X{4,}(?!\w)",  # XXXX
-    r"(?<!\w)_{5,}(?!\w)(?!\s*$)|(?<=\S\s)_{5,}(?!\w)",  # ____ (name), but no rule across the page
+    r"(?<!\w)_{5,}(?!\w)(?!\s*$)|(?<=\S[ \t])_{5,}(?!\w)",  # ____ (name), but no rule across the page
 ]
 # Words of pretended Latin; sentences of filler.
 LATIN = frozenset(
@@ -106,9 +106,10 @@ _I = re.IGNORECASE
 _HOLD = re.compile("|".join(PLACEHOLDERS), re.M)
 _HINT = re.compile(r"[{}<>\[\]%@]|XXXX|_____|__[A-Z]")
 _FILL = re.compile(rf"(?:{'|'.join(FILLER)})\W*", _I)
-_FILL_HINT = re.compile(r"filler|dummy|placeholder|sample|text|content|copy|box|layout|blindtext|absatz|relleno|párrafo|remplissage|paragraphe", _I)
 _REPEAT = re.compile(r"(?<!\w)(\w{2,12})(?:\s+\1){4,}(?!\w)", _I)
-_LATIN_HINT = re.compile(r"\b(?:" + "|".join(sorted(LATIN - frozenset("ea est et ex id in non qui sed sit ut elit magna culpa enim esse duis".split()))) + r")\b", _I)
+#: Pretended Latin that is no word of a common language.
+_RARE_LATIN = LATIN - frozenset("ea est et ex id in non qui quis sed sit sint sunt ut elit magna culpa enim esse duis velit laborum labore irure dolore".split())
+_LATIN_HINT = re.compile(r"\b(?:" + "|".join(sorted(_RARE_LATIN)) + r")\b", _I)
 _ERR = re.compile("|".join(f"(?:{p})" for p in ERRORS), _I)
 _SIDE = re.compile("|".join(f"(?:{p})" for p in BESIDE), _I)
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[^\n]*$|\Z)", re.M | re.S)
@@ -122,7 +123,10 @@ _WORDS = re.compile(r"[^\W_]+(?:[_./\-][^\W_]+)*")
 
 
 def _prose(text: str) -> str:
-    text = _HIDDEN.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if not text.isascii():
+        text = _HIDDEN.sub("", text)
     if "`" in text or "~~~" in text:
         text = _FENCE.sub("\n", text)
     if "\n    " in text or "\t" in text or text.startswith("    "):
@@ -138,20 +142,17 @@ def has_placeholder(prose: str) -> bool:
     return any(not any(q.start() < m.start() and m.end() < q.end() for q in _QUOTED.finditer(bare)) for m in _HOLD.finditer(bare))
 
 
-def has_filler(prose: str) -> bool:
-    """A line or run of sentences that only fill space."""
-    if _REPEAT.search(prose):
+def has_filler(prose: str, repeats: bool = True, latin: bool = True, worded: bool = True) -> bool:
+    """A line or a run of sentences that only fills space, or one word over and over; the flags leave out what can't be there."""
+    if repeats and _REPEAT.search(prose):
         return True
-    words, latin = _FILL_HINT.search(prose), _LATIN_HINT.search(prose)
-    if not words and not latin:
+    if not latin and not worded:
         return False
     for line in prose.split("\n"):
-        if words:
-            body = _MARK.sub("", line, count=1)
-            for candidate in {line.strip(), body.strip()}:
-                found = [bool(_FILL.fullmatch(s)) for s in _SENTENCE.split(candidate) if s]
-                if found and (all(found) or sum(found) >= 2):
-                    return True
+        for candidate in {line.strip(), _MARK.sub("", line, count=1).strip()} if worded else ():
+            found = [bool(_FILL.fullmatch(s)) for s in _SENTENCE.split(candidate) if s]
+            if found and (all(found) or sum(found) >= 2):
+                return True
         if latin and _LATIN_HINT.search(line):
             for s in _SENTENCE.split(line):
                 ws = [w.lower() for w in _WORDS.findall(s)]
@@ -165,51 +166,99 @@ def core_lines(prose: str) -> list[str]:
     return [b for line in prose.split("\n") if (b := re.sub(r"^\s*#{1,6}\s+", "", line).strip()) and not _SIDE.match(b)]
 
 
-def is_error_page(prose: str) -> bool:
-    """Nothing but messages of an error page or a notice, apart from a title, menus and footers."""
-    lines = core_lines(prose)
+def is_error_page(lines: list[str]) -> bool:
+    """Whether `core_lines` hold nothing but messages of an error page or a notice, apart from a title."""
     if not lines or len(lines) > 40:
         return False
-    told = [bool(_ERR.match(b)) for b in lines]
-    if not told[0] and len(lines) > 1 and len(lines[0]) <= 140 and lines[0][-1] not in ".!?:;":
-        told = told[1:]  # a title
-    return bool(told) and all(told)
-
-
-def _masked(lines: list[str]) -> list[str]:
-    out = []
-    for b in lines:
-        for w in _WORDS.findall(b):
-            if any(c.isdigit() for c in w) or any(c in "_./" for c in w) or (w[1:] != w[1:].lower() and w != w.upper()):
-                out.append("0")
-            else:
-                out.append(w.lower())
-    return out
+    first = 0
+    if not _ERR.match(lines[0]):  # a title
+        if len(lines) == 1 or len(lines[0]) > 140 or lines[0][-1] in ".!?:;":
+            return False
+        first = 1
+    return all(_ERR.match(b) for b in lines[first:])
 
 
-def _simhashes(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """SimHash of each run of shingle codes: the majority of each bit."""
-    if not len(codes):
-        return np.zeros(len(counts), dtype=np.uint64)
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    out = np.zeros(len(counts), dtype=np.uint64)
-    for bit in range(0, 64, 8):
-        bits = np.unpackbits(((codes >> np.uint64(bit)) & np.uint64(255)).astype(np.uint8)[:, None], axis=1, bitorder="little")
-        most = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) > counts[:, None]
-        out |= np.packbits(most, axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(bit)
-    return out
+def core_of(prose: str) -> tuple[list[str], bool]:
+    """Core lines, without the title of an error page, and whether it is one."""
+    lines = core_lines(prose)
+    page = is_error_page(lines)
+    return (lines[1:] if page and not _ERR.match(lines[0]) else lines), page
+
+
+_ZERO = 0x5851F42D4C957F2D
+_HINTS = frozenset("filler dummy placeholder sample text content copy box layout blindtext absatz relleno párrafo remplissage paragraphe".split())
+
+
+class _Words:
+    """Code and hint (1 pretended Latin, 64 a word of filler sentences) of a word; numbers and identifiers share a code."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def add(self, words: set[str]) -> None:
+        from xxhash import xxh64_intdigest
 
+        if len(self.known) > 500_000:
+            self.known.clear()
+        for w in words:
+            if w not in self.known:
+                low = w.lower()
+                masked = any(c.isdigit() for c in w) or "_" in w or "." in w or "/" in w or (w[1:] != low[1:] and w != w.upper())
+                parts = re.split(r"[_./\-]", low)
+                hint = (1 if low in _RARE_LATIN else 0) | (64 if any(q in _HINTS for q in parts) else 0)
+                self.known[w] = (_ZERO if masked else xxh64_intdigest(low.encode("utf-8", "surrogatepass")), hint)
 
-def _shingles(words: list[str], hashed) -> np.ndarray:  # noqa: ANN001
-    codes = np.array([hashed(w) for w in words], dtype=np.uint64)
+    def codes(self, words: list[str]) -> tuple[list[int], list[int]]:
+        known = self.known
+        self.add({w for w in set(words) if w not in known})
+        both = [known[w] if w in known else self.one(w) for w in words]
+        return [c for c, _ in both], [h for _, h in both]
+
+    def one(self, w: str) -> tuple[int, int]:
+        self.add({w})
+        return self.known[w]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _shingles(codes: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of five codes; of all codes where there are fewer."""
     n = max(1, len(codes) - SHINGLE + 1)
     out = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(min(SHINGLE, len(codes))):
             out = out * np.uint64(0x9E3779B97F4A7C15) + (codes[k : k + n] ^ (codes[k : k + n] >> np.uint64(31)))
-        out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(out ^ (out >> np.uint64(31)))
+    return _mix(out)
+
+
+def _simhashes(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SimHash of texts whose word codes stand one after the other: the majority of each bit over their shingles."""
+    starts = np.concatenate([[0], ends[:-1]])
+    out = np.zeros(len(ends), dtype=np.uint64)
+    long = np.nonzero(ends - starts > SHINGLE)[0]
+    for i in np.nonzero((ends > starts) & (ends - starts <= SHINGLE))[0]:
+        out[i] = _shingles(codes[starts[i] : ends[i]])[0]
+    if not len(long):
+        return out
+    inside = np.zeros(len(codes) + 1, dtype=np.int64)
+    np.add.at(inside, starts[long], 1)
+    np.add.at(inside, ends[long] - SHINGLE + 1, -1)
+    shingles = _shingles(codes)
+    use = shingles[np.nonzero(np.cumsum(inside)[: len(shingles)])[0]]
+    counts = ends[long] - starts[long] - SHINGLE + 1
+    at = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    found = np.zeros(len(long), dtype=np.uint64)
+    for bit in range(0, 64, 8):
+        bits = np.unpackbits(((use >> np.uint64(bit)) & np.uint64(255)).astype(np.uint8)[:, None], axis=1, bitorder="little")
+        most = 2 * np.add.reduceat(bits, at, axis=0, dtype=np.int32) > counts[:, None]
+        found |= np.packbits(most, axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(bit)
+    out[long] = found
+    return out
 
 
 _SCHEMA = "doc_id bigint, placeholder boolean, filler boolean, page boolean, core bigint, simhash bigint"
@@ -225,35 +274,38 @@ def read_documents(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        known: dict[str, int] = {}
-
-        def hashed(w: str) -> int:
-            h = known.get(w)
-            if h is None:
-                if len(known) > 500_000:
-                    known.clear()
-                h = known[w] = xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-            return h
-
+        known = _Words()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            flags, cores, shingles = [], [], []
-            for i in range(batch.num_rows):
-                text = texts[i].as_py()
-                prose = _prose(text) if text else ""
-                lines = core_lines(prose)
-                page = is_error_page(prose)
-                if page and len(lines) > 1 and not _ERR.match(lines[0]):
-                    lines = lines[1:]
-                words = _masked(lines)
-                flags.append((has_placeholder(prose), has_filler(prose), page))
-                cores.append(xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None)
-                shingles.append(_shingles(words, hashed) if words else np.zeros(0, dtype=np.uint64))
-            counts = np.array([max(1, len(s)) for s in shingles], dtype=np.int64)
-            sim = _simhashes(np.concatenate([s if len(s) else np.zeros(1, dtype=np.uint64) for s in shingles]) if shingles else np.zeros(0, dtype=np.uint64), counts)
-            signed = [None if c is None else c - (1 << 64) if c >= 1 << 63 else c for c in cores]
-            columns = [ids, *[pa.array([f[k] for f in flags], type=pa.bool_()) for k in range(3)], pa.array(signed, type=pa.int64()), pa.array(sim.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "placeholder", "filler", "page", "core", "simhash"])
+            start = 0
+            while start < batch.num_rows:  # a bounded number of words at a time
+                proses, pages, flat, hints, ends = [], [], [], [], []
+                first = start
+                while start < batch.num_rows and len(flat) < 500_000:
+                    text = batch.column(1)[start].as_py()
+                    prose = _prose(text) if text else ""
+                    lines, page = core_of(prose)
+                    codes, hint = known.codes(_WORDS.findall("\n".join(lines)))
+                    flat += codes
+                    hints += hint
+                    proses.append(prose)
+                    pages.append(page)
+                    ends.append(len(flat))
+                    start += 1
+                codes, at = np.array(flat, dtype=np.uint64), np.array(ends, dtype=np.int64)
+                begun = np.concatenate([[0], at[:-1]])
+                kinds = np.array(hints, dtype=np.int64)
+                latin, worded = (np.concatenate([[0], np.cumsum(k)]) for k in (kinds & 1, kinds >> 6))
+                latin, worded = latin[at] - latin[begun] >= 2, worded[at] > worded[begun]
+                repeats = np.zeros(len(at), dtype=bool)
+                if len(codes) > 4:  # five times the same word
+                    same = (codes[:-4] == codes[4:]) & (codes[:-4] == codes[1:-3]) & (codes[:-4] == codes[2:-2]) & (codes[:-4] == codes[3:-1]) & (codes[:-4] != np.uint64(_ZERO))
+                    repeats[np.minimum(np.searchsorted(at, np.nonzero(same)[0], "right"), len(at) - 1)] = True
+                filler = [has_filler(p, r, v, w) for p, r, v, w in zip(proses, repeats, latin, worded)]
+                holder = [has_placeholder(p) for p in proses]
+                cores = [xxh64_intdigest(codes[a:b].tobytes()) if b > a else None for a, b in zip(begun, at)]
+                signed = [None if c is None else c - (1 << 64) if c >= 1 << 63 else c for c in cores]
+                columns = [batch.column(0).slice(first, start - first), *[pa.array(f, type=pa.bool_()) for f in (holder, filler, pages)], pa.array(signed, type=pa.int64()), pa.array(_simhashes(codes, at).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "placeholder", "filler", "page", "core", "simhash"])
 
     return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA)
 
@@ -262,16 +314,12 @@ def _core_shingles(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """core, shingles of the cores in `wanted`, from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
+        known = _Words()
         for batch in batches:
             out = []
             for text in batch.column(1):
-                prose = _prose(text.as_py())
-                lines = core_lines(prose)
-                if is_error_page(prose) and len(lines) > 1 and not _ERR.match(lines[0]):
-                    lines = lines[1:]
-                out.append(_shingles(_masked(lines), lambda w: xxh64_intdigest(w.encode("utf-8", "surrogatepass"))).view(np.int64))
+                codes, _ = known.codes(_WORDS.findall("\n".join(core_of(_prose(text.as_py()))[0])))
+                out.append(np.unique(_shingles(np.array(codes, dtype=np.uint64))).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.list_(pa.int64()))], names=["core", "shingles"])
 
     picked = documents.join(wanted, "doc_id").select("core", "text")
