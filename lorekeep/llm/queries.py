@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import dialogues, leaks, residue, tokens
+from lorekeep.llm import dialogues, leaks, near_duplicates, residue, tokens
 from lorekeep.sources.tables import canonical_uuid, table
 
 
@@ -35,6 +35,21 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).where(F.col("verbatim") >= leaks.WINDOW).select("doc_id", "item_id")
 
 
+def _contents(spark: SparkSession, folder: str) -> DataFrame:
+    t = table(spark, folder, "records").select("id", "ingested_at", "content.title", "content.description", "content.details")
+    return t.select(canonical_uuid(F.col("id")).alias("id"), F.col("ingested_at").alias("at"), "title", "description", "details")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of records whose words of title, description and details share 0.7 of their union: id_a, id_b."""
+    return near_duplicates.similar_pairs(_contents(spark, folder), ["title", "description", "details"])
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record of enough words: id, class_id (equal sets), group_id (connected by similarity), links (similar classes)."""
+    return near_duplicates.similar_groups(_contents(spark, folder), ["title", "description", "details"])
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations to drop: session_id, source_session, defect."""
     t = dialogues.assigned(dialogues.turns(table(spark, folder, "messages")))
@@ -60,7 +75,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_conversations, p6_ids, p7_leaks, p7_found, p8_labels, p8_found)}
+    return {f.__name__: f for f in (p4_found, p4_groups, p5_found, p5_conversations, p6_ids, p7_leaks, p7_found, p8_labels, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
