@@ -31,7 +31,7 @@ COLOURS = 8
 #: Words whose counts order them; the bound of what is broadcast. All others count as rare and are ordered by hash.
 FREQUENT = 65_536
 #: Bytes of branches in a bucket; rows of one word's branches beyond which they are spread over more buckets.
-BUCKET_BYTES, SPREAD = 16_000_000, 100_000
+BUCKET_BYTES, SPREAD = 8_000_000, 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -119,24 +119,25 @@ def _scan(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id string, at timestamp_ntz, key bigint, size bigint, word bigint, n bigint")
 
 
-def _runs(sizes: np.ndarray, chunk: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j), i < j, of all pairs within runs that stand one after the other, a bounded number at a time."""
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    at = np.arange(len(ends))
-    after = ends - at - 1
-    total = np.cumsum(after)
+def _spans(counts: np.ndarray, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for all i and i < j <= i + counts[i], about `chunk` at a time, so that temporaries stay in the cache."""
+    total = np.cumsum(counts)
     low = 0
-    while low < len(at):
-        high = int(np.searchsorted(total, (total[low - 1] if low else 0) + chunk, "right"))
-        high = max(high, low + 1)
-        part = after[low:high]
-        i = np.repeat(at[low:high], part)
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + chunk, "right")))
+        part = counts[low:high]
+        i = np.repeat(np.arange(low, high), part)
         if len(i):
-            first = np.cumsum(part) - part
-            yield i, i + 1 + (np.arange(len(i)) - np.repeat(first, part))
+            yield i, i + 1 + (np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part))
         low = high
 
 
+def _runs(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of all pairs within runs that stand one after the other."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    return _spans(ends - np.arange(len(ends)) - 1, 4_000_000)
+
+
 def _beginnings(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words to take of each set as the larger and as the smaller of a pair."""
     a, b = SIMILAR
@@ -231,24 +232,36 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     rec = np.concatenate([(p & 0x7FFF).astype(np.int64) + s for p, s in zip(places, start)])
     small = np.concatenate([p >> 15 for p in places]).astype(bool)
     keys = np.concatenate(keys)
-    sort = np.lexsort((sizes[rec], branch))
-    branch, rec, small = branch[sort], rec[sort], small[sort]
-    _, counts = np.unique(branch, return_counts=True)
+    # by branch and size; of one size those come first that may be the smaller set
+    code = (branch.astype(np.uint64) << np.uint64(32)) | np.minimum(sizes[rec], (1 << 31) - 1).astype(np.uint64) << np.uint64(1) | (~small).astype(np.uint64)
+    sort = np.argsort(code)
+    code, rec, small = code[sort], rec[sort], small[sort]
+    n = sizes[rec]
+    top = (code >> np.uint64(32) << np.uint64(32)) | np.minimum(b * n // a, (1 << 31) - 1).astype(np.uint64) << np.uint64(1) | np.uint64(1)
+    counts = np.where(small, np.searchsorted(code, top, "right") - np.arange(len(code)) - 1, 0)
+    one, two = sketches[rec, 0], sketches[rec, 1]
+    most = (b - a) * np.arange(2 * int(n.max()) + 1) // (a + b) if len(n) else np.zeros(1, dtype=np.int64)
     found: list[np.ndarray] = []
-    for i, j in _runs(counts):  # i is the smaller set, or as large
-        ri, rj = rec[i], rec[j]
-        n, m = sizes[ri], sizes[rj]
-        ok = (small[i] | (small[j] & (n == m))) & (a * m <= b * n) & (keys[ri] != keys[rj])
-        ri, rj, most = ri[ok], rj[ok], ((b - a) * (n[ok] + m[ok])) // (a + b)
-        apart = np.bitwise_count(sketches[ri, 0] ^ sketches[rj, 0]).astype(np.int64) + np.bitwise_count(sketches[ri, 1] ^ sketches[rj, 1])
-        ok = apart <= most
+    for i, j in _spans(counts, 200_000):  # i is the smaller set, or as large
+        limit = most[n[i] + n[j]]
+        apart = np.bitwise_count(one[i] ^ one[j])
+        ok = np.nonzero(apart <= limit)[0]
+        i, j = i[ok], j[ok]
+        ok = apart[ok].astype(np.int64) + np.bitwise_count(two[i] ^ two[j]) <= limit[ok]
         if ok.any():
-            ends = np.sort(np.stack([keys[ri[ok]], keys[rj[ok]]], axis=1), axis=1)
-            found.append(np.unique(ends, axis=0))
+            ends = np.sort(np.stack([keys[rec[i[ok]]], keys[rec[j[ok]]]], axis=1), axis=1)
+            found.append(np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _meet_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A partition is a bucket, of bounded size."""
+    held = [b for b in batches if len(b)]
+    if held:
+        yield _meet(pd.concat(held, ignore_index=True))
+
+
 def _word_sets(rows: DataFrame) -> DataFrame:
     """key, words (hashes) of rows (key, texts...) whose set has that key."""
 
@@ -287,7 +300,7 @@ def similar_sets(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFr
     buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weight * 14 // BUCKET_BYTES)))
 
     branches = _branch_rows(rows.select(*columns), ranks, buckets)
-    met = materialise(branches.repartition(min(buckets, 4000), "bucket").groupBy("bucket").applyInPandas(_meet, "a bigint, b bigint").distinct())
+    met = materialise(branches.repartitionById(buckets, "bucket").mapInPandas(_meet_all, "a bigint, b bigint").distinct())
     ends = met.select(F.col("a").alias("key")).union(met.select("b")).distinct()
     shown = seen.join(ends, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "at")).alias("x")).select("key", "x.id", "x.at")
     texts = rows.select("id", F.col("at").cast("timestamp_ntz").alias("at"), *columns).join(shown, ["id", "at"]).select("key", *columns)
