@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorekeep.plans import list_queries
 from lorekeep.plans import record_queries as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -13,8 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     own = (R.p1_found, R.p1_paths, R.p1_descendants, R.p2_found, R.p2_lifespans, R.p2_records, R.p3_found, R.p3_records, R.p3_entities, R.p3_relationships, R.p3_code)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | list_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return R.SQL | list_queries.SQL

@@ -10,6 +10,23 @@ from lorekeep.operators import hierarchy as H
 from lorekeep.operators import nested as N
 from lorekeep.sources.tables import canonical_uuid, table
 
+SQL: dict[str, str] = {}
+_HIERARCHY = r"""
+WITH RECURSIVE raw AS (SELECT regexp_replace(regexp_replace(lower(id),'^[\s{]*(urn:uuid:)?[\s{]*',''),'[\s}\-]+','','g') h, regexp_replace(regexp_replace(lower(parent_update),'^[\s{]*(urn:uuid:)?[\s{]*',''),'[\s}\-]+','','g') p, ingested_at FROM records),
+c AS (SELECT CASE WHEN regexp_full_match(h,'[0-9a-f]{32}') THEN h END h, CASE WHEN regexp_full_match(p,'[0-9a-f]{32}') THEN p END p, ingested_at FROM raw),
+n AS (SELECT h, p FROM (SELECT h,p,row_number() OVER (PARTITION BY h ORDER BY ingested_at DESC, p DESC NULLS LAST) rn FROM c WHERE h IS NOT NULL) WHERE rn=1),
+l AS (SELECT a.h, a.p FROM n a JOIN n b ON a.p=b.h),
+up AS (SELECT h, p AS anc FROM l UNION SELECT up.h, l.p FROM up JOIN l ON up.anc=l.h),
+ring AS (SELECT DISTINCT h FROM up WHERE h=anc),
+tree AS (SELECT up.h, count(*) d, max(CASE WHEN l.h IS NULL THEN anc END) root, bool_or(ring.h IS NOT NULL) caught, min(ring.h) least FROM up LEFT JOIN l ON up.anc=l.h LEFT JOIN ring ON up.anc=ring.h GROUP BY up.h),
+o AS (SELECT tree.h, CASE WHEN caught THEN least ELSE root END r, CASE WHEN ring.h IS NOT NULL THEN -1 WHEN caught THEN -2 ELSE d END depth FROM tree LEFT JOIN ring ON tree.h=ring.h)
+"""
+_UUID = "substr({0},1,8)||'-'||substr({0},9,4)||'-'||substr({0},13,4)||'-'||substr({0},17,4)||'-'||substr({0},21,12)"
+SQL["p1_found"] = _HIERARCHY + f"SELECT {_UUID.format('h')} AS id, {_UUID.format('r')} AS root_id, CAST(depth AS BIGINT) AS depth FROM o"
+SQL["p1_descendants"] = (
+    _HIERARCHY + f", far AS (SELECT u.h, u.anc, (SELECT count(*) FROM up v WHERE v.h = u.h) - (SELECT count(*) FROM up v WHERE v.h = u.anc) AS distance FROM up u JOIN o ON u.h = o.h WHERE o.depth > 0) SELECT {_UUID.format('anc')} AS ancestor_id, {_UUID.format('h')} AS id, CAST(distance AS BIGINT) AS distance FROM far"
+)
+
 
 def record_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """One row a record (the delivery ingested last): id, parent, grp. Equal times are settled by the parent."""
