@@ -25,11 +25,12 @@ IMPORTANCE_OF = {"decision": 1.0, "problem": 0.9, "user_message": 0.8, "document
 QUERY_BLOCK = 4096
 
 
-def postings(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """id, term, tf, length (words of the text). Counted within each text, so nothing is shuffled."""
-    words = docs.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.array_sort(tokens(F.col(text))).alias("w"))
-    rows = words.select("id", F.size("w").alias("length"), F.explode(F.array_distinct("w")).alias("term"), "w")
-    return rows.select("id", "term", (F.size(F.array_remove("w", F.lit("\u0000"))) - F.size(F.array_remove("w", F.col("term")))).alias("tf"), "length")
+def postings(docs: DataFrame, ident: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """id, term, tf, length (words of the text), of the terms in `wanted` only if given; counted before the shuffle."""
+    words = docs.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), tokens(F.col(text)).alias("w"))
+    rows = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
+    rows = rows.join(wanted, "term", "left_semi") if wanted is not None else rows
+    return rows.groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
@@ -39,12 +40,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     the documents written in their script are dropped, unless they are on at most ten. Ties go by id.
     Documents with null texts do not count.
     """
-    posts = postings(docs, "id", "text")
     stats = docs.where("text is not null").agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avg_length"))
     terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = terms.select("term").distinct()
     written = docs.where("text is not null").select(F.explode(F.array_distinct(F.transform(F.array_distinct(tokens(F.col("text"))), script))).alias("script")).groupBy("script").agg(F.count("*").alias("docs"))
-    hits = posts.join(wanted, "term")
+    hits = postings(docs, "id", "text", wanted)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     limits = df.withColumn("script", script(F.col("term"))).join(written.where("script <> 'other'"), "script", "left").crossJoin(F.broadcast(stats))
     most = F.greatest(F.floor(F.lit(MAX_DF_SHARE) * F.coalesce("docs", F.col("n"))), F.lit(MIN_PRUNED_DF))
@@ -56,7 +56,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
 
 def top_k(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key in a total order, with `rank` from 0; the window's limit prunes before the shuffle."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).where(F.col("rank") < k)
+    return df.withColumn("rank", (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("bigint")).where(F.col("rank") < k)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
@@ -150,7 +150,7 @@ def neighbours(rows: DataFrame, hits: DataFrame, radius: int = 1) -> DataFrame:
     `rows`: grp, pos (unique in grp); `hits`: grp, pos, score. No row twice: a hit stays a hit, another row goes with
     the best hit near it (ties: the earlier). Offsets are exploded, so the join is on equality.
     """
-    around = hits.select("grp", (F.col("pos") + F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).alias("pos"), "score", F.col("pos").alias("hit"))
+    around = hits.select("grp", F.explode(F.sequence(F.col("pos") - radius, F.col("pos") + radius)).alias("near"), "score", F.col("pos").alias("hit")).withColumnRenamed("near", "pos")
     met = around.join(rows.select("grp", "pos"), ["grp", "pos"])
     own = F.col("hit") == F.col("pos")
     best = met.groupBy("grp", "pos").agg(F.max_by(F.struct("score", "hit"), F.struct(own, "score", -F.col("hit"))).alias("x"))
