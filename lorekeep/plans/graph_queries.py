@@ -57,11 +57,11 @@ SQL["entity_related"] = EDGES_SQL + " SELECT src AS name, dst AS other, type AS
 
 
 def _starts(edges: DataFrame) -> DataFrame:
-    """Entities with a name that begins with B."""
-    return edges.select(F.col("src").alias("start")).where("start like 'B%'").distinct()
+    """All entities that a relation starts from; their number is fixed."""
+    return edges.select(F.col("src").alias("start")).distinct()
 
 
-_STARTS = "SELECT DISTINCT src FROM edge WHERE src LIKE 'B%'"
+_STARTS = "SELECT DISTINCT src FROM edge"
 
 
 def _reach_sql(steps: str, depth: int, name: str) -> str:
@@ -69,7 +69,7 @@ def _reach_sql(steps: str, depth: int, name: str) -> str:
 
 
 def bfs_trace(spark: SparkSession, folder: str) -> DataFrame:
-    """What is reached from some entities within three hops, either way."""
+    """What is reached from every entity within three hops, either way."""
     edges = _parts(spark, folder)[2]
     steps = G.related(edges).select(F.col("name").alias("src"), F.col("other").alias("dst")).distinct()
     return G.reach(_starts(edges), materialise(steps), 3).select("start", "node", "hops")
@@ -79,7 +79,7 @@ SQL["bfs_trace"] = EDGES_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1) + ", "
 
 
 def impact(spark: SparkSession, folder: str) -> DataFrame:
-    """What depends on some entities, up to ten hops."""
+    """What depends on every entity, up to ten hops."""
     edges = _parts(spark, folder)[2]
     return G.reach(_starts(edges), materialise(G.impact_steps(edges)), 10).where("hops > 0").select("start", "node", "hops")
 
@@ -88,15 +88,13 @@ SQL["impact"] = EDGES_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1) + ", " +
 
 
 def shortest_path(spark: SparkSession, folder: str) -> DataFrame:
-    """Shortest directed paths between some entities, up to four hops: their lengths."""
+    """Shortest directed paths from every entity, up to four hops: their lengths."""
     edges = _parts(spark, folder)[2]
-    steps = materialise(edges.select("src", "dst").distinct())
-    goals = _starts(edges).withColumnRenamed("start", "goal")
-    pairs = materialise(_starts(edges).join(goals, F.col("start") != F.col("goal")))
-    return G.shortest_paths(pairs, steps, 4).where(F.size("path") == F.col("hops") + 1).select("start", "goal", "hops")
+    paths = G.shortest_paths(_starts(edges), materialise(edges.select("src", "dst").distinct()), 4)
+    return paths.where(F.size("path") == F.col("hops") + 1).select("start", "goal", "hops")
 
 
-SQL["shortest_path"] = EDGES_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1) + ", " + _reach_sql("SELECT src, dst FROM edge", 4, "w") + f" SELECT start, node AS goal, min(hops) AS hops FROM w WHERE start <> node AND node IN ({_STARTS}) GROUP BY ALL"
+SQL["shortest_path"] = EDGES_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1) + ", " + _reach_sql("SELECT src, dst FROM edge", 4, "w") + " SELECT start, node AS goal, min(hops) AS hops FROM w WHERE start <> node GROUP BY ALL"
 
 
 def lineage(spark: SparkSession, folder: str) -> DataFrame:
