@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lorekeep.sources.scratch import materialise, release
 
 #: Links that one task may hold; more are merged by distributed jumps first.
-TASK_LINKS = 1_000_000
+TASK_LINKS = 500_000
 #: Nodes of one local forest; larger groups are split.
 FOREST_NODES = 200_000
 RING, BELOW = -1, -2
