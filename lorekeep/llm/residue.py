@@ -26,6 +26,8 @@ from lorekeep.sources.scratch import materialise
 SHINGLE = 5
 SIMILARITY = 0.8
 HAMMING = 3
+#: Characters of the longest line that can be a message of an error page.
+MESSAGE = 240
 
 # Unfilled placeholders.
 _NAME = r"[A-Za-z_][\w.\-]*"
@@ -166,23 +168,28 @@ def core_lines(prose: str) -> list[str]:
     return [b for line in prose.split("\n") if (b := re.sub(r"^\s*#{1,6}\s+", "", line).strip()) and not _SIDE.match(b)]
 
 
+def is_message(line: str) -> bool:
+    """A line of an error page or a notice: begins like one and is no longer than one."""
+    return len(line) <= MESSAGE and _ERR.match(line) is not None
+
+
 def is_error_page(lines: list[str]) -> bool:
     """Whether `core_lines` hold nothing but messages of an error page or a notice, apart from a title."""
     if not lines or len(lines) > 40:
         return False
     first = 0
-    if not _ERR.match(lines[0]):  # a title
+    if not is_message(lines[0]):  # a title
         if len(lines) == 1 or len(lines[0]) > 140 or lines[0][-1] in ".!?:;":
             return False
         first = 1
-    return all(_ERR.match(b) for b in lines[first:])
+    return all(is_message(b) for b in lines[first:])
 
 
 def core_of(prose: str) -> tuple[list[str], bool]:
     """Core lines, without the title of an error page, and whether it is one."""
     lines = core_lines(prose)
     page = is_error_page(lines)
-    return (lines[1:] if page and not _ERR.match(lines[0]) else lines), page
+    return (lines[1:] if page and not is_message(lines[0]) else lines), page
 
 
 _ZERO = 0x5851F42D4C957F2D
