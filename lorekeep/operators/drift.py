@@ -22,6 +22,8 @@ from lorekeep.sources.scratch import materialise
 
 #: More than this share of the records with a value in either file must hold the same value under both names.
 RENAME_SHARE = 0.5
+#: Files whose changes are settled together in one task.
+FILES_A_TASK = 2000
 SESSION_PREFIX = "session.incremental_updates."
 
 
@@ -176,30 +178,33 @@ def _evidence(feeds: DataFrame, files: DataFrame, steps: DataFrame) -> DataFrame
     return met.groupBy("at", "old", "new").agg(F.count_if(F.col("old_hash") == F.col("new_hash")).alias("same"), F.count("*").alias("filled"))
 
 
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+def _inside(path: str, tops: set[str]) -> bool:
+    while path := _parent(path):
+        if path in tops:
+            return True
+    return False
+
+
+def _settle(changes: list[tuple[str, str, str, int, int]]) -> list[tuple[str, str, str]]:
     """The changes of one file: pairs names, best agreement first, and leaves out what lies inside a changed object."""
-    named = pdf[pdf["change"] == "pair"].copy()
-    named["share"] = named["same"] / named["filled"].clip(lower=1)
-    named = named[named["share"] > RENAME_SHARE].sort_values(["same", "share", "old", "new"], ascending=[False, False, True, True])
-    gone, come, renames = set(pdf.loc[pdf["change"] == "removed", "old"]), set(pdf.loc[pdf["change"] == "added", "new"]), []
-    for old, new in zip(named["old"], named["new"]):
+    gone, come, retyped = ({o or n for c, o, n, _, _ in changes if c == kind} for kind in ("removed", "added", "retyped"))
+    pairs = sorted(((-same, -same / filled, o, n) for c, o, n, same, filled in changes if c == "pair" and filled and same / filled > RENAME_SHARE))
+    renames = []
+    for _, _, old, new in pairs:
         if old in gone and new in come:
             gone.discard(old)
             come.discard(new)
             renames.append((old, new))
-    retyped = set(pdf.loc[pdf["change"] == "retyped", "old"])
-    top_old = gone | retyped | {o for o, _ in renames}
-    top_new = come | retyped | {n for _, n in renames}
+    top_old, top_new = gone | retyped | {o for o, _ in renames}, come | retyped | {n for _, n in renames}
+    rows = [("added", "", p) for p in come if not _inside(p, top_new)] + [("removed", p, "") for p in gone if not _inside(p, top_old)]
+    return rows + [("renamed", o, n) for o, n in renames if not _inside(o, top_old) and not _inside(n, top_new)] + [("retyped", p, p) for p in retyped if not _inside(p, top_new)]
 
-    def inside(path: str, tops: set[str]) -> bool:
-        while path := _parent(path):
-            if path in tops:
-                return True
-        return False
 
-    rows = [("added", "", p) for p in come if not inside(p, top_new)] + [("removed", p, "") for p in gone if not inside(p, top_old)]
-    rows += [("renamed", o, n) for o, n in renames if not inside(o, top_old) and not inside(n, top_new)] + [("retyped", p, p) for p in retyped if not inside(p, top_new)]
-    return pd.DataFrame([(pdf["at"].iloc[0], *r) for r in rows], columns=["at", "change", "old_path", "new_path"])
+def _settle_files(pdf: pd.DataFrame) -> pd.DataFrame:
+    per: dict[int, list] = defaultdict(list)
+    for at, *change in zip(*(pdf[c] for c in ("at", "change", "old", "new", "same", "filled"))):
+        per[at].append(change)
+    return pd.DataFrame([(at, *row) for at, changes in per.items() for row in _settle(changes)], columns=["at", "change", "old_path", "new_path"])
 
 
 def drift(feeds: DataFrame) -> DataFrame:
@@ -216,7 +221,8 @@ def drift(feeds: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     rows = steps.select("at", "change", F.when(F.col("change") != "added", F.col("path")).alias("old"), F.when(F.col("change") != "removed", F.col("path")).alias("new"), F.lit(0).cast("bigint").alias("same"), F.lit(0).cast("bigint").alias("filled"))
     rows = rows.unionByName(pairs.select("at", F.lit("pair").alias("change"), "old", "new", "same", "filled"))
-    settled = rows.groupBy("at").applyInPandas(_settle, "at bigint, change string, old_path string, new_path string")
+    groups = max(16, files.count() // FILES_A_TASK)
+    settled = rows.groupBy(F.pmod("at", F.lit(groups)).alias("group")).applyInPandas(_settle_files, "at bigint, change string, old_path string, new_path string")
     return settled.join(files.select("at", "series", "file_name"), "at").select("series", "file_name", "change", "old_path", "new_path")
 
 
