@@ -6,35 +6,48 @@ value counts whatever its wrapping: JSON kept as text, a lone object where a lis
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _kind(v: Column) -> Column:
-    return F.split(F.schema_of_variant(v), "<")[0]
+def _bound(v: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(v), f)[0]
+
+
+def _list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _object(v: Column) -> Column:
+    """Whether a variant is an object; looks at its top only."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def unwrapped(v: Column) -> Column:
     """A variant whose text holds JSON becomes that JSON; other text becomes null."""
-    return F.when(_kind(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+    return _bound(v, lambda x: F.when(_list(x).isNotNull() | _object(x), x).otherwise(F.try_parse_json(F.try_variant_get(x, "$", "string"))))
 
 
 def as_list(v: Column) -> Column:
-    """array<variant> of a list, of a lone object, or of either as text; null for anything else. Null elements stay."""
-    u = unwrapped(v)
-    return F.coalesce(F.try_variant_get(u, "$", "array<variant>"), F.when(_kind(u) == "OBJECT", F.array(u)))
+    """array<variant> of a list, of a lone object, or of either as text, elements unwrapped; null for anything else. Null elements stay."""
+    return _bound(unwrapped(v), lambda u: F.transform(F.coalesce(_list(u), F.when(_object(u), F.array(u))), unwrapped))
 
 
 def scalar(v: Column, path: str) -> Column:
     """The value at path as text: also of {"value": x}; null for absent, null, empty, lists and other objects."""
-    whole = F.try_variant_get(v, path, "variant")
-    text = F.when(_kind(whole) == "OBJECT", F.try_variant_get(whole, "$.value", "string")).when(_kind(whole) != "ARRAY", F.try_variant_get(whole, "$", "string"))
-    return F.when(text != "", text)
+
+    def text(x: Column) -> Column:
+        return F.when(_object(x), F.try_variant_get(x, "$.value", "string")).when(_list(x).isNull(), F.try_variant_get(x, "$", "string"))
+
+    return _bound(_bound(F.try_variant_get(v, path, "variant"), text), lambda t: F.when(t != "", t))
 
 
 def children(v: Column, path: str, fields: dict[str, str]) -> Column:
     """array<struct<ordinal, *fields>> of the list at path; fields: name of a column to its path in an element."""
-    return F.transform(as_list(F.try_variant_get(v, path, "variant")), lambda e, i: F.struct(i.cast("bigint").alias("ordinal"), *[scalar(unwrapped(e), p).alias(n) for n, p in fields.items()]))
+    return F.transform(as_list(F.try_variant_get(v, path, "variant")), lambda e, i: F.struct(i.cast("bigint").alias("ordinal"), *[scalar(e, p).alias(n) for n, p in fields.items()]))
 
 
 #: Target tables below a record: name, path in the record, columns by their path in an element (the first is the item).
@@ -62,9 +75,9 @@ def nested_records(exports: DataFrame, fields: dict[str, str] | None = None, tab
         as_list(F.try_variant_get("s", "$.incremental_updates", "variant")),
         lambda e, i: F.struct(
             i.cast("bigint").alias("ordinal"),
-            scalar(unwrapped(e), "$.id").alias("record_id"),
-            *[scalar(unwrapped(e), p).alias(n) for n, p in fields.items() if n != "id"],
-            *[children(unwrapped(e), p, cols).alias(n) for n, (p, cols) in tables.items()],
+            scalar(e, "$.id").alias("record_id"),
+            *[scalar(e, p).alias(n) for n, p in fields.items() if n != "id"],
+            *[children(e, p, cols).alias(n) for n, (p, cols) in tables.items()],
         ),
     )
     known = read.select("export_id", "exported_at", scalar(F.col("s"), "$.id").alias("session_id"), rows.alias("rows")).where("session_id is not null")
