@@ -35,6 +35,32 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).where(F.col("verbatim") >= leaks.WINDOW).select("doc_id", "item_id")
 
 
+P4_SQL = r"""
+WITH raw AS (SELECT regexp_replace(regexp_replace(lower(id),'^[\s{]*(urn:uuid:)?[\s{]*',''),'[\s}\-]+','','g') h, content, ingested_at FROM records),
+r AS (SELECT h, content FROM raw WHERE regexp_full_match(h,'[0-9a-f]{32}') QUALIFY row_number() OVER (PARTITION BY h ORDER BY ingested_at DESC) = 1),
+w AS (SELECT substr(h,1,8)||'-'||substr(h,9,4)||'-'||substr(h,13,4)||'-'||substr(h,17,4)||'-'||substr(h,21,12) AS id, list_distinct(list_filter(regexp_extract_all(lower(concat_ws(' ', content.title, content.description, array_to_string(content.details, ' '))), '[\p{L}\p{N}]+'), lambda x: length(x) >= 3)) s FROM r),
+k AS (SELECT id, s, len(s) n FROM w WHERE len(s) >= 20), x AS (SELECT id, n, unnest(s) t FROM k),
+o AS (SELECT a.id id_a, b.id id_b, any_value(a.n) n, any_value(b.n) m, count(*) c FROM x a JOIN x b ON a.t = b.t AND a.id < b.id AND 10 * a.n >= 7 * b.n AND 10 * b.n >= 7 * a.n GROUP BY 1, 2)
+SELECT id_a, id_b FROM o WHERE 17 * c >= 7 * (n + m)
+"""
+_SEEN = r"[^\s\p{Z}\p{Cc}\p{Cf}\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}]"
+P5_SQL = rf"""
+WITH RECURSIVE m AS (SELECT session_id, turn_id, seq, lower(trim(role)) IN ('user','human') usr, lower(trim(role)) IN ('assistant','ai','agent','model') ast, nullif(trim(source_session),'') own, nullif(trim(parent),'') parent, text, nullif(trim(blocks),'') bl FROM messages WHERE session_id IS NOT NULL AND turn_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, turn_id ORDER BY seq, ingested_at, parent, own) = 1),
+t AS (SELECT *, bl IS NULL OR json_valid(bl) readable, CASE WHEN json_valid(bl) THEN CAST(bl AS JSON) END j FROM m),
+b0 AS (SELECT session_id, turn_id, seq, i, json_extract(j, '$[' || i || ']') x FROM (SELECT *, unnest(range(CAST(json_array_length(j) AS BIGINT))) i FROM t WHERE json_type(j) = 'ARRAY')),
+b AS (SELECT session_id, turn_id, seq, i, coalesce(x ->> '$.type', CASE WHEN json_exists(x, '$.text') THEN 'text' WHEN json_exists(x, '$.thinking') THEN 'thinking' WHEN json_exists(x, '$.summary') THEN 'summary' WHEN json_exists(x, '$.tool_use') OR json_exists(x, '$.toolUse') THEN 'tool_use' WHEN json_exists(x, '$.tool_result') OR json_exists(x, '$.toolResult') THEN 'tool_result' WHEN json_exists(x, '$.end') THEN 'end' END) kind,
+coalesce(x ->> '$.tool_use_id', x ->> '$.tool_result.tool_use_id', x ->> '$.toolResult.toolUseId', x ->> '$.tool_use.id', x ->> '$.toolUse.id', x ->> '$.id') call, coalesce(x ->> '$.stop', x ->> '$.end.stop') stop, x ->> '$.text' txt FROM b0),
+f AS (SELECT session_id, turn_id, bool_or(kind = 'text' AND regexp_matches(txt, '{_SEEN}')) shown, bool_or(kind NOT IN ('text','end')) other, bool_or(kind = 'end' AND stop IN ('failed','cancelled','blocked')) failed FROM b GROUP BY 1, 2),
+c AS (SELECT session_id, turn_id, own conv FROM t WHERE own IS NOT NULL UNION SELECT t.session_id, t.turn_id, c.conv FROM t JOIN c ON t.session_id = c.session_id AND t.parent = c.turn_id WHERE t.own IS NULL),
+a AS (SELECT t.*, conv, coalesce(regexp_matches(text, '{_SEEN}'), false) OR coalesce(shown, false) says, coalesce(other, false) oth, coalesce(failed, false) fail FROM t JOIN c USING (session_id, turn_id) LEFT JOIN f USING (session_id, turn_id)),
+cl AS (SELECT a.session_id, conv, call, min((b.seq, i)) FILTER (WHERE kind = 'tool_use') fu, max((b.seq, i)) FILTER (WHERE kind = 'tool_use') lu, min((b.seq, i)) FILTER (WHERE kind = 'tool_result') fr, max((b.seq, i)) FILTER (WHERE kind = 'tool_result') lr FROM a JOIN b USING (session_id, turn_id) WHERE kind IN ('tool_use','tool_result') GROUP BY ALL),
+bad AS (SELECT session_id, conv FROM cl WHERE NOT coalesce(call IS NOT NULL AND lr > lu AND fu < fr, false) UNION SELECT x.session_id, x.conv FROM a x WHERE x.parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a y WHERE y.session_id = x.session_id AND y.conv = x.conv AND y.turn_id = x.parent)),
+g AS (SELECT session_id, conv, bool_and(readable) rd, bool_or(says) sy, bool_or(oth) ot, max(seq) FILTER (WHERE usr AND says) u, max(seq) FILTER (WHERE ast AND says AND NOT fail) r FROM a GROUP BY 1, 2),
+d AS (SELECT session_id, conv AS source_session, CASE WHEN rd AND NOT sy AND NOT ot THEN 'empty' WHEN NOT rd OR u IS NULL OR (session_id, conv) IN (SELECT session_id, conv FROM bad) THEN 'broken' WHEN r IS NULL OR r < u THEN 'no_reply' END AS defect FROM g)
+SELECT * FROM d WHERE defect IS NOT NULL
+"""
+
+
 def _contents(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "records").select("id", "ingested_at", "content.title", "content.description", "content.details")
     return t.select(canonical_uuid(F.col("id")).alias("id"), F.col("ingested_at").alias("at"), "title", "description", "details")
@@ -79,4 +105,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_found": P7_SQL}
+    return {"p4_found": P4_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL}
