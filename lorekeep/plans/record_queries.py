@@ -27,6 +27,23 @@ SQL["p1_descendants"] = (
     _HIERARCHY + f", far AS (SELECT u.h, u.anc, (SELECT count(*) FROM up v WHERE v.h = u.h) - (SELECT count(*) FROM up v WHERE v.h = u.anc) AS distance FROM up u JOIN o ON u.h = o.h WHERE o.depth > 0) SELECT {_UUID.format('anc')} AS ancestor_id, {_UUID.format('h')} AS id, CAST(distance AS BIGINT) AS distance FROM far"
 )
 
+SQL["p1_paths"] = (
+    _HIERARCHY + f", far AS (SELECT u.h, u.anc, (SELECT count(*) FROM up v WHERE v.h = u.anc) AS level FROM up u JOIN o ON u.h = o.h WHERE o.depth > 0), pt AS (SELECT h, string_agg({_UUID.format('anc')}, '/' ORDER BY level) || '/' || {_UUID.format('any_value(h)')} AS p FROM far GROUP BY h) "
+    f"SELECT {_UUID.format('o.h')} AS id, {_UUID.format('r')} AS root_id, CAST(depth AS BIGINT) AS depth, p AS path FROM o LEFT JOIN pt ON pt.h = o.h UNION ALL SELECT {_UUID.format('h')}, {_UUID.format('h')}, 0, {_UUID.format('h')} FROM n WHERE h NOT IN (SELECT h FROM l)"
+)
+_UNWRAP = "CASE WHEN json_type({0}) = 'VARCHAR' THEN CASE WHEN json_valid({0} ->> '$') THEN CAST({0} ->> '$' AS JSON) END ELSE {0} END"
+_FLAT = f"""WITH e AS (SELECT export_id, exported_at, CAST(payload AS JSON) j FROM session_exports WHERE json_valid(payload)), u AS (SELECT export_id, exported_at, {_UNWRAP.format('j')} k FROM e),
+s AS (SELECT export_id, exported_at, k ->> '$.session.id' sid, {_UNWRAP.format("json_extract(k, '$.session.incremental_updates')")} ups FROM u WHERE json_type(k) = 'OBJECT'), l AS (SELECT * FROM s WHERE sid <> '' QUALIFY row_number() OVER (PARTITION BY sid ORDER BY exported_at DESC, export_id DESC) = 1),
+r0 AS (SELECT sid, i, json_extract(ups, '$[' || i || ']') x FROM (SELECT sid, ups, unnest(range(CAST(json_array_length(ups) AS BIGINT))) i FROM l WHERE json_type(ups) = 'ARRAY') UNION ALL SELECT sid, 0, ups FROM l WHERE json_type(ups) = 'OBJECT'),
+r1 AS (SELECT sid, i, {_UNWRAP.format('x')} x FROM r0), r AS (SELECT sid, x ->> '$.id' rid, i, x FROM r1 WHERE x ->> '$.id' <> '' QUALIFY row_number() OVER (PARTITION BY sid, x ->> '$.id' ORDER BY i DESC) = 1),
+c0 AS (SELECT sid, rid, 'typed_entity' child, 'name' f, {_UNWRAP.format("json_extract(x, '$.typed_entities')")} y FROM r UNION ALL SELECT sid, rid, 'relationship', 'from_entity', {_UNWRAP.format("json_extract(x, '$.creates_relationships')")} FROM r UNION ALL SELECT sid, rid, 'code', 'file_path', {_UNWRAP.format("json_extract(x, '$.related_code')")} FROM r),
+c1 AS (SELECT sid, rid, child, f, o, json_extract(y, '$[' || o || ']') z FROM (SELECT *, unnest(range(CAST(json_array_length(y) AS BIGINT))) o FROM c0 WHERE json_type(y) = 'ARRAY') UNION ALL SELECT sid, rid, child, f, 0, y FROM c0 WHERE json_type(y) = 'OBJECT'),
+c2 AS (SELECT sid, rid, child, f, o, {_UNWRAP.format('z')} z FROM c1), c AS (SELECT sid, rid, child, o, CASE json_type(json_extract(z, '$.' || f)) WHEN 'OBJECT' THEN z ->> ('$.' || f || '.value') WHEN 'ARRAY' THEN NULL ELSE z ->> ('$.' || f) END item, z FROM c2)"""
+SQL["p3_found"] = _FLAT + " SELECT sid AS session_id, rid AS record_id, 'record' AS child, i AS ordinal, rid AS item FROM r UNION ALL SELECT sid, rid, child, o, item FROM c WHERE item <> ''"
+SQL["p3_entities"] = _FLAT + " SELECT sid AS session_id, rid AS record_id, o AS ordinal, item AS name, nullif(z ->> '$.entity_type', '') AS entity_type FROM c WHERE item <> '' AND child = 'typed_entity'"
+SQL["p3_relationships"] = _FLAT + " SELECT sid AS session_id, rid AS record_id, o AS ordinal, item AS from_entity, nullif(z ->> '$.to_entity', '') AS to_entity, nullif(z ->> '$.relation_type', '') AS relation_type, nullif(z ->> '$.context', '') AS context FROM c WHERE item <> '' AND child = 'relationship'"
+SQL["p3_code"] = _FLAT + " SELECT sid AS session_id, rid AS record_id, o AS ordinal, item AS file_path, z ->> '$.start_line' AS start_line, z ->> '$.end_line' AS end_line, nullif(z ->> '$.commit_hash', '') AS commit_hash FROM c WHERE item <> '' AND child = 'code'"
+
 
 def record_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """One row a record (the delivery ingested last): id, parent, grp. Equal times are settled by the parent."""
