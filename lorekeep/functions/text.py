@@ -199,3 +199,27 @@ def with_paths(df: DataFrame, text: str) -> DataFrame:
         return pd.Series([paths_of(t) if t else [] for t in s])
 
     return df.withColumn("paths", run(F.col(text)))
+
+
+def terms(c: Column) -> Column:
+    """Words of three or more characters and runs of capitalised words as one name, lower-cased; words are not stemmed."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{Lu}[\p{L}\p{N}']*(?:[^\p{L}\p{N}']+\p{Lu}[\p{L}\p{N}']*)*)"), 1)
+    names = F.filter(F.transform(runs, lambda r: F.lower(F.regexp_replace(r, r"[^\p{L}\p{N}']+", " "))), lambda r: F.char_length(r) > 2)
+    return F.coalesce(F.array_distinct(F.concat(words(c), names)), F.array().cast("array<string>"))
+
+
+def name_keys(c: Column, most: int = 3) -> Column:
+    """Entity keys of all runs of up to `most` words: the keys under which a text would name an entity."""
+    w = F.filter(F.transform(F.split(c, r"[^\p{L}\p{N}+#./\-_'’]+"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^[.'’]+|[.'’]+$", ""), r"['’]s$", "")), lambda x: x != "")
+    return F.array_distinct(F.transform(F.concat(*[_runs(w, k) for k in range(1, most + 1)]), entity_key))
+
+
+def _runs(w: Column, k: int) -> Column:
+    starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " "))
+
+
+def update_text(title: Column, description: Column, details: Column) -> Column:
+    """The text under which a record is embedded: title, description and details, a line each; null if it is shorter than ten characters."""
+    whole = F.concat_ws("\n", title, description, F.array_join(details, "\n"))
+    return F.when(F.char_length(F.trim(whole)) >= 10, whole)

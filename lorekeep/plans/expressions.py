@@ -285,12 +285,27 @@ class _Compiler:
             return self._macro(name, owner, args[0][1], args[1])
         if owner is not None and owner[0] == "name" and owner[1] in ("lists", "time", "math") and owner[1] not in self.names:
             name, owner = f"{owner[1]}.{name}", None
+        if name in ("time.parse", "time.format"):
+            return self._time(name, args)
         given = [self.of(x) for x in ([owner] if owner else []) + args]
         for kinds, made in _FUNCTIONS.get(name, []):
             if len(kinds) == len(given) and all(k == "any" or g.type == k or (k == "list" and _is_list(g.type)) for k, g in zip(kinds, given)):
                 return made(*given)
         raise ExpressionError(f"no function {name}({', '.join(g.type for g in given)})")
 
+    def _time(self, name: str, args: list[tuple]) -> Typed:
+        """Patterns and zones are literals; an offset in the text wins over the zone, text that does not fit is an error."""
+        if len(args) not in (2, 3) or any(a[0] != "literal" or not isinstance(a[1], str) for a in args[1:]):
+            raise ExpressionError(f"{name}(value, 'pattern'[, 'zone'])")
+        value, pattern, zone = self.of(args[0]), _strftime(args[1][1]), args[2][1] if len(args) == 3 else None
+        if value.type != ("string" if name == "time.parse" else "timestamp"):
+            raise ExpressionError(f"{name} of {value.type}")
+        if name == "time.format":
+            at = value.column.cast("timestamp")
+            return Typed(F.date_format(F.from_utc_timestamp(at, zone) if zone else at, pattern), "string")
+        read = F.to_timestamp(value.column, pattern)
+        return Typed(F.to_utc_timestamp(read, zone) if zone and "x" not in pattern else read, "timestamp")
+
     def _macro(self, name: str, owner: tuple, var: str, body: tuple) -> Typed:
         o = self.of(owner)
         if not _is_list(o.type):
