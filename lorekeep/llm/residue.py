@@ -95,6 +95,7 @@ ERRORS = [
     r"seite nicht gefunden|zugriff verweigert|página no encontrada|page introuvable",
     r"(?:error|erreur|fehler) [45]\d\d ?:",
     r'\{\s*"error"\s*:',
+    r"traceback\b.{0,120}(?:failed|error)|traceback \(most recent call last\)|stack ?trace:|exception in thread|(?:fatal|uncaught|unhandled) (?:error|exception)\b",
 ]
 # Lines that stand beside an error message.
 BESIDE = [

@@ -27,7 +27,7 @@ def page(text):
     return R.core_of(R._prose(text))[1]
 
 
-@pytest.mark.parametrize("text", ["Please enable JavaScript to view this page.", "Menu  Home  Boards  Docs  Sign in\nAccess denied\nYou have no permission to open x.\n© X", "A plain title\n\nHTTP 502\nupstream closed the connection\nserver: x/1.2", '{"error":{"code":404}}', "404 Not Found\n\nThe address /a is not on this server.\nReference ab12", "Loading…\n\nIf nothing happens, switch scripts on."])
+@pytest.mark.parametrize("text", ["Please enable JavaScript to view this page.", "Menu  Home  Boards  Docs  Sign in\nAccess denied\nYou have no permission to open x.\n© X", "A plain title\n\nHTTP 502\nupstream closed the connection\nserver: x/1.2", '{"error":{"code":404}}', "404 Not Found\n\nThe address /a is not on this server.\nReference ab12", "Loading…\n\nIf nothing happens, switch scripts on.", "Traceback: relay failed while rendering template a/b.go: internal error, request 2f"])
 def test_error_pages(text):
     assert page(text)
 
