@@ -30,16 +30,16 @@ def validity(spark, *rows, aliases=()):
 def test_validity_cases(spark):
     v = validity(spark, record(1, 0), record(2, 10, supersedes=[uid(1)], valid_from=T0 + timedelta(minutes=5)))
     assert (v[uid(1)].valid_to, v[uid(1)].reason, v[uid(1)].ended_by) == (T0 + timedelta(minutes=5), "superseded", uid(2))
-    v = validity(spark, record(1, 0, title="Default search mode is local", entities=["search mode"]), record(2, 5, title="Default search mode is fast", entities=["Search-Mode"]), record(3, 6, title="Default search mode is fast", entities=["reranker"]))
+    v = validity(spark, record(1, 0, title="Usual board view is narrow", entities=["board view"]), record(2, 5, title="Usual board view is wide", entities=["Board-View"]), record(3, 6, title="Usual board view is wide", entities=["relay"]))
     assert (v[uid(1)].reason, v[uid(2)].reason, v[uid(3)].reason) == ("restated", None, None)
-    v = validity(spark, record(1, 0, "problem_solved", "same title here", ["x"]), record(2, 1, "problem_solved", "same title here", ["x"]), record(3, 2, title="pcx is one", entities=["pcx"]), record(4, 3, title="pcx is one", entities=["pcx"]))
+    v = validity(spark, record(1, 0, "problem_solved", "same title here", ["x"]), record(2, 1, "problem_solved", "same title here", ["x"]), record(3, 2, title="mill is one", entities=["mill"]), record(4, 3, title="mill is one", entities=["mill"]))
     assert (v[uid(1)].reason, v[uid(3)].reason) == (None, "duplicate")
     a = [("A", "B", "depends_on", ""), ("A", "C", "depends_on", "")]
     v = validity(spark, record(1, 0, "qa", relations=a[:1]), record(2, 1, "qa", relations=[("B", "A", "conflicts_with", "")]), record(3, 0, "qa", relations=a[1:]))
     assert (v[uid(1)].reason, v[uid(3)].reason) == ("contradicted", None)
     v = validity(spark, record(1, 0, retired=T0 + timedelta(minutes=3)), record(2, 9, supersedes=[uid(1)]))
     assert (v[uid(1)].valid_to, v[uid(1)].reason, v[uid(1)].ended_by) == (T0 + timedelta(minutes=3), "forgotten", None)
-    v = validity(spark, record(1, 0, title="store is chosen", entities=["Surreal"]), record(2, 1, title="store is chosen", entities=["SurrealDB"]), aliases=[("SurrealDB", ["Surreal"])])
+    v = validity(spark, record(1, 0, title="desk is chosen", entities=["Lease"]), record(2, 1, title="desk is chosen", entities=["LeaseDesk"]), aliases=[("LeaseDesk", ["Lease"])])
     assert v[uid(1)].reason == "duplicate"
 
 
@@ -105,8 +105,8 @@ def test_text_functions(spark):
     shown = text.best_passage("aaa " * 100 + "needle in hay " + "bbb " * 100, "needle hay", 60)
     assert "needle in hay" in shown and shown.startswith("…") and shown.endswith("…")
     assert text.paths_of("src/{a,b}.rs, lib/x.py:12-14 y.py; none") == ["src/a.rs", "src/b.rs", "lib/x.py", "lib/y.py"]
-    keys = spark.createDataFrame([("Search-Mode",), ("_-",)], "n string").select(text.entity_key(F.col("n"))).collect()
-    assert [r[0] for r in keys] == ["searchmode", "_-"]
+    keys = spark.createDataFrame([("Board-View",), ("_-",)], "n string").select(text.entity_key(F.col("n"))).collect()
+    assert [r[0] for r in keys] == ["boardview", "_-"]
 
 
 def test_redaction(spark):
