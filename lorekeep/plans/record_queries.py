@@ -40,6 +40,8 @@ c0 AS (SELECT sid, rid, 'typed_entity' child, 'name' f, {_UNWRAP.format("json_ex
 c1 AS (SELECT sid, rid, child, f, o, json_extract(y, '$[' || o || ']') z FROM (SELECT *, unnest(range(CAST(json_array_length(y) AS BIGINT))) o FROM c0 WHERE json_type(y) = 'ARRAY') UNION ALL SELECT sid, rid, child, f, 0, y FROM c0 WHERE json_type(y) = 'OBJECT'),
 c2 AS (SELECT sid, rid, child, f, o, {_UNWRAP.format('z')} z FROM c1), c AS (SELECT sid, rid, child, o, CASE json_type(json_extract(z, '$.' || f)) WHEN 'OBJECT' THEN z ->> ('$.' || f || '.value') WHEN 'ARRAY' THEN NULL ELSE z ->> ('$.' || f) END item, z FROM c2)"""
 SQL["p3_found"] = _FLAT + " SELECT sid AS session_id, rid AS record_id, 'record' AS child, i AS ordinal, rid AS item FROM r UNION ALL SELECT sid, rid, child, o, item FROM c WHERE item <> ''"
+_SCALAR = "nullif(CASE json_type(json_extract(x, '{0}')) WHEN 'OBJECT' THEN x ->> '{0}.value' WHEN 'ARRAY' THEN NULL ELSE x ->> '{0}' END, '')"
+SQL["p3_records"] = _FLAT + " SELECT sid AS session_id, rid AS record_id, i AS ordinal, " + ", ".join(f"{_SCALAR.format(p)} AS {n}" for n, p in N.RECORD_FIELDS.items() if n != "id") + " FROM r"
 SQL["p3_entities"] = _FLAT + " SELECT sid AS session_id, rid AS record_id, o AS ordinal, item AS name, nullif(z ->> '$.entity_type', '') AS entity_type FROM c WHERE item <> '' AND child = 'typed_entity'"
 SQL["p3_relationships"] = _FLAT + " SELECT sid AS session_id, rid AS record_id, o AS ordinal, item AS from_entity, nullif(z ->> '$.to_entity', '') AS to_entity, nullif(z ->> '$.relation_type', '') AS relation_type, nullif(z ->> '$.context', '') AS context FROM c WHERE item <> '' AND child = 'relationship'"
 SQL["p3_code"] = _FLAT + " SELECT sid AS session_id, rid AS record_id, o AS ordinal, item AS file_path, z ->> '$.start_line' AS start_line, z ->> '$.end_line' AS end_line, nullif(z ->> '$.commit_hash', '') AS commit_hash FROM c WHERE item <> '' AND child = 'code'"
