@@ -4,7 +4,7 @@ Each document is read once where it lies: code is set aside, then sentences and
 precision (unfilled placeholders, filler, error messages and script notices; these are the trusted labels). What is
 left of a document without menu, footer and title is its core, with numbers and identifiers masked; cores of one wording
 collapse by hash. Distinct cores get a SimHash over shingles of five words; partitioned tables (all choices of two of
-five blocks, so any two within Hamming distance 3 meet) give candidates, Hamming distance and then Jaccard similarity
+eight blocks, so any two within Hamming distance 6 meet) give candidates, Hamming distance and then Jaccard similarity
 of the shingles verify them, and a trusted error-page label spreads through the connected components. Placeholder and
 filler labels belong to a passage, not a wording, so they do not spread: a filled-in copy of a form is content.
 """
@@ -25,7 +25,9 @@ from lorekeep.sources.scratch import materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
-HAMMING = 3
+#: Blocks of a SimHash of which two make a table's key: any two hashes within BLOCKS - 2 bits meet, most of those within
+#: HAMMING do, and what meets within HAMMING is compared by its shingles.
+BLOCKS, HAMMING = 8, 12
 #: Characters of the longest line that can be a message of an error page.
 MESSAGE = 240
 
@@ -335,14 +337,14 @@ def _core_shingles(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_cores(cores: DataFrame) -> DataFrame:
-    """Pairs of distinct cores (core, simhash) within Hamming distance 3: a, b (a < b), found in ten partitioned tables."""
-    blocks = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-    masks = [((1 << n) - 1) << s for s, n in blocks]
+    """Pairs of distinct cores (core, simhash) within HAMMING that meet in one of the partitioned tables: a, b (a < b)."""
+    width = 64 // BLOCKS
+    masks = [((1 << width) - 1) << (width * k) for k in range(BLOCKS)]
 
     def signed(v: int) -> int:
         return v - (1 << 64) if v >= 1 << 63 else v
 
-    tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("simhash").bitwiseAND(F.lit(signed(masks[i] | masks[j]))).alias("key")) for k, (i, j) in enumerate(combinations(range(5), 2))])
+    tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("simhash").bitwiseAND(F.lit(signed(masks[i] | masks[j]))).alias("key")) for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))])
     rows = cores.select("core", "simhash", F.inline(tables))
     left, right = rows.withColumnsRenamed({"core": "a", "simhash": "ha"}), rows.withColumnsRenamed({"core": "b", "simhash": "hb"})
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= HAMMING)
