@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import script, tokens
+from lorekeep.functions.text import SCRIPTS, script, tokens
 from lorekeep.sources.scratch import materialise
 
 # Fixed values of the scoring.
@@ -41,14 +41,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     the documents written in their script are dropped, unless they are on at most ten. Ties go by id.
     Documents with null texts do not count.
     """
-    stats = docs.where("text is not null").agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avg_length"))
+    read = docs.where("text is not null").select(F.array_distinct(tokens(F.col("text"))).alias("w"), F.size(tokens(F.col("text"))).alias("length"))
+    read = read.select("length", F.array_distinct(F.transform("w", script)).alias("scripts"))
+    stats = read.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"), *[F.count_if(F.array_contains("scripts", s)).alias(s) for s in SCRIPTS])  # one row
     terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    written = docs.where("text is not null").select(F.explode(F.array_distinct(F.transform(F.array_distinct(tokens(F.col("text"))), script))).alias("script")).groupBy("script").agg(F.count("*").alias("docs"))
-    hits = postings(docs, "id", "text", wanted)
+    hits = postings(docs, "id", "text", terms.select("term").distinct())
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    limits = df.withColumn("script", script(F.col("term"))).join(written.where("script <> 'other'"), "script", "left").crossJoin(F.broadcast(stats))
-    most = F.greatest(F.floor(F.lit(MAX_DF_SHARE) * F.coalesce("docs", F.col("n"))), F.lit(MIN_PRUNED_DF))
+    written = F.create_map(*[x for s in SCRIPTS for x in (F.lit(s), F.col(s))])
+    limits = df.withColumn("script", script(F.col("term"))).crossJoin(F.broadcast(stats))
+    most = F.greatest(F.floor(F.lit(MAX_DF_SHARE) * F.coalesce(F.element_at(written, F.col("script")), F.col("n"))), F.lit(MIN_PRUNED_DF))
     useful = limits.where(F.col("df") <= most).select("term", "avg_length", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     scored = hits.join(useful, "term").select("id", "term", (F.col("idf") * norm).alias("part")).join(terms, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))

@@ -14,7 +14,7 @@ SQL: dict[str, str] = {}
 
 def filter_distinct_limit(spark: SparkSession, folder: str) -> DataFrame:
     """Events of a value above 50, the first of each user, the first ten of them."""
-    return L.filter_items(table(spark, folder, "events"), "event_id", "value > 50.0", "user_id", 10).select("event_id", "user_id", "value")
+    return L.filter_items(table(spark, folder, "events").select("event_id", "user_id", "value"), "event_id", "value > 50.0", "user_id", 10)
 
 
 SQL["filter_distinct_limit"] = """SELECT event_id, user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) rn FROM events WHERE value > 50) WHERE rn = 1 ORDER BY event_id LIMIT 10"""
