@@ -139,22 +139,35 @@ def _compare(doc: list[str], item: list[str], shift: int, starts: list[int], kin
             j += 1
         low, high = starts[i], starts[j] + WINDOW
         run = 0
-        there: dict[str, str] = {}
-        back: dict[str, str] = {}
-        length = changed = 0
+        there: dict[str, tuple[str, int]] = {}  # the last filling of each word of the item, and its place
+        back: dict[str, tuple[str, int]] = {}
+        changed: dict[str, int] = {}  # places of each exchanged slot in the run
+        start = low
         for p in range(low, high):
             d, t = doc[p], item[p - shift]
             run = run + 1 if d == t else 0
             exact = max(exact, run)
-            if d != t and (kind(d) == 0 or kind(d) != kind(t)) or there.get(t, d) != d or back.get(d, t) != t:
-                there, back, length, changed = {}, {}, 0, 0
-                if d != t and (kind(d) == 0 or kind(d) != kind(t)):
-                    continue
-            changed += d != t and t not in there
-            there[t], back[d] = d, t
-            length += 1
-            if (length, -changed) > (consistent, -slots):
-                consistent, slots = length, changed
+            first = start
+            if d != t and (kind(d) == 0 or kind(d) != kind(t)):
+                first = p + 1
+            else:
+                for other, (filling, q) in ((d, there.get(t, (d, -1))), (t, back.get(d, (t, -1)))):
+                    if filling != other:
+                        first = max(first, q + 1)
+            for q in range(start, min(first, p)):  # these leave the run
+                x = item[q - shift]
+                if doc[q] != x:
+                    changed[x] -= 1
+                    if not changed[x]:
+                        del changed[x]
+            start = first
+            if start > p:
+                continue
+            there[t], back[d] = (d, p), (t, p)
+            if d != t:
+                changed[t] = changed.get(t, 0) + 1
+            if (p + 1 - start, -len(changed)) > (consistent, -slots):
+                consistent, slots = p + 1 - start, len(changed)
         i = j + 1
     return exact, consistent, slots
 

@@ -1,3 +1,5 @@
+import random
+
 from lorekeep.llm import leaks as L
 
 ITEMS = "item_id bigint, suite string, split string, lang string, text string, answer string, doc_id bigint"
@@ -46,3 +48,25 @@ def test_blocks_long_texts_and_repeats(spark):
 def test_names_only_windows(spark):
     names = " ".join(f"Nam{c}o" for c in "abcdefghijklmn")
     assert run(spark, [(1, names), (2, names.replace("Nam", "Zim"))], [(10, "test", names)]).keys() == {(1, 10)}
+
+
+def test_run_goes_on_behind_a_slot_filled_otherwise(spark):
+    item = "take value 5 from the shared panel then add 5 more panels of the board and close the old quota".split()
+    doc = [*item]
+    doc[2], doc[9] = "7", "8"
+    got = run(spark, [(1, " ".join(doc))], [(10, "test", " ".join(item))])
+    assert got[1, 10][1:] == (len(item) - 3, 1)
+
+
+def test_longest_run_by_brute_force():
+    rng, kind = random.Random(7), lambda w: int(w.isdigit())
+    for _ in range(300):
+        item = [rng.choice("a b c 1 2 3".split()) for _ in range(30)]
+        doc = [rng.choice("1 2 3".split()) if w.isdigit() else "z" if rng.random() < 0.03 else w for w in item]
+        best = (0, 0)
+        for i in range(30):
+            for j in range(i + 1, 31):
+                pairs = {(d, t) for d, t in zip(doc[i:j], item[i:j])}
+                if len({d for d, _ in pairs}) == len({t for _, t in pairs}) == len(pairs) and all(d == t or kind(d) and kind(t) for d, t in pairs):
+                    best = max(best, (j - i, -sum(d != t for d, t in pairs)))
+        assert L._compare(doc, item, 0, list(range(19)), kind)[1:] == (best[0], -best[1])
