@@ -214,6 +214,11 @@ def name_keys(c: Column, most: int = 3) -> Column:
     return F.array_distinct(F.transform(F.concat(*[_runs(w, k) for k in range(1, most + 1)]), entity_key))
 
 
+def name_words(name: Column) -> Column:
+    """Words of a name as `name_keys` needs them at most: between blanks, hyphens and underscores."""
+    return F.size(F.filter(F.split(name, r"[\s\-_]+"), lambda x: x != ""))
+
+
 def _runs(w: Column, k: int) -> Column:
     starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " "))

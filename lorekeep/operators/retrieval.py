@@ -178,21 +178,29 @@ def packed(candidates: DataFrame, budget: int = 4000) -> DataFrame:
     return candidates.groupBy("qid").applyInPandas(run, schema)
 
 
-def graph_candidates(docs: DataFrame, queries: DataFrame, k: int = 300, steps: int = 30, damping: float = 0.5, max_share: float = 0.05) -> DataFrame:
-    """Rows ranked by personalised PageRank from each query's terms: qid, id, score, rank.
-
-    `docs`: id, terms (array); `queries`: qid, terms. The graph joins rows and terms; terms on more than 5 % of the rows
-    (and more than two) are left out; seeds weigh one over the rows that have them. The mass of all queries moves at
-    once, a join and a sum a step; only nodes that a query reaches have rows. Rows without a term are never reached.
+def graph_candidates(docs: DataFrame, queries: DataFrame, k: int = 300, steps: int = 30, damping: float = 0.5, max_share: float = 0.05, relations: DataFrame | None = None) -> DataFrame:
+    """Rows ranked by personalised PageRank from each query's terms and entities: qid, id, score, rank.
+
+    `docs`: id, terms (array) and, if they have any, entities (array of entity keys); `queries`: qid, and the same;
+    `relations`: src, dst (entity keys), weight. The graph joins rows with terms and entities by edges of weight 1, and
+    entities with each other, both ways, by those of the relations; terms and entities on more than 5 % of the rows
+    (and more than two), or on none, are left out; seeds weigh one over the rows that have them. The mass of all
+    queries moves at once, a join and a sum a step; only nodes that a query reaches have rows. Rows without a term or
+    an entity are never reached.
     """
     n = docs.count()
-    pairs = docs.select("id", F.explode(F.array_distinct("terms")).alias("term"))
-    df = pairs.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= max(int(max_share * n), 2))
-    kept = materialise(pairs.join(df, "term"))
-    a, b = F.concat(F.lit("d"), F.col("id").cast("string")), F.concat(F.lit("t"), F.col("term"))
-    size = kept.groupBy("id").agg(F.count("*").alias("n"))
-    flow = materialise(kept.join(size, "id").select(a.alias("src"), b.alias("dst"), (1.0 / F.col("n")).alias("part")).unionByName(kept.select(b.alias("src"), a.alias("dst"), (1.0 / F.col("df")).alias("part"))))
-    seeds = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term")).join(df, "term").select("qid", b.alias("node"), (1.0 / F.col("df")).alias("w"))
+    pairs = _graph_nodes(docs, "id")
+    df = pairs.groupBy("node").agg(F.count("*").alias("df")).where(F.col("df") <= max(int(max_share * n), 2))
+    kept = materialise(pairs.join(df, "node"))
+    edges = kept.select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("weight"))
+    if relations is not None:
+        known = df.where("node like 'e%'").select("node")
+        ends = relations.where("src <> dst and weight > 0").select(F.concat(F.lit("e"), "src").alias("src"), F.concat(F.lit("e"), "dst").alias("dst"), F.col("weight").cast("double").alias("weight"))
+        edges = edges.unionByName(ends.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "weight"))
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    strength = both.groupBy("src").agg(F.sum("weight").alias("strength"))
+    flow = materialise(both.join(strength, "src").select("src", "dst", (F.col("weight") / F.col("strength")).alias("part")))
+    seeds = _graph_nodes(queries, "qid").join(df, "node").select("qid", "node", (1.0 / F.col("df")).alias("w"))
     total = seeds.groupBy("qid").agg(F.sum("w").alias("total"))
     seeds = materialise(seeds.join(total, "qid").select("qid", "node", (F.col("w") / F.col("total")).alias("seed")))
     rank = seeds.withColumnRenamed("seed", "rank")
@@ -201,5 +209,14 @@ def graph_candidates(docs: DataFrame, queries: DataFrame, k: int = 300, steps: i
         rank = moved.unionByName(seeds.select("qid", "node", ((1 - damping) * F.col("seed")).alias("x"))).groupBy("qid", "node").agg(F.sum("x").alias("rank"))
         if step % 5 == 4:
             rank = materialise(rank)
-    found = rank.where("node like 'd%'").select("qid", F.substring("node", 2, 200).alias("id"), F.round("rank", 9).alias("score"))
-    return top_k(found.where("score > 0"), "qid", [F.desc("score"), F.asc("id")], k)
+    found = rank.where("node like 'd%'").select("qid", F.substring("node", 2, 200).alias("id"), F.col("rank").alias("score"))
+    best = top_k(found.where("score > 0"), "qid", [F.desc(F.round("score", 12)), F.asc("id")], k)
+    return best.withColumn("score", F.round("score", 9))
+
+
+def _graph_nodes(df: DataFrame, ident: str) -> DataFrame:
+    """ident, node: each term (t...) and entity (e...) of each row once."""
+    out = df.select(ident, F.explode(F.array_distinct("terms")).alias("key")).select(ident, F.concat(F.lit("t"), "key").alias("node"))
+    if "entities" not in df.columns:
+        return out
+    return out.unionByName(df.select(ident, F.explode(F.array_distinct("entities")).alias("key")).select(ident, F.concat(F.lit("e"), "key").alias("node")))

@@ -159,3 +159,34 @@ def test_streaming_state(spark, tmp_path):
     changes = streams.follow(spark, str(tmp_path / "in"), "key string, value string")
     got = streams.run_available(streams.key_values(changes, lambda old, new: (old or "") + new), "kv_state", str(tmp_path / "cp"), "update")
     assert {(r.key, r.version) for r in got.collect()} == {("k", 2), ("m", 1)}
+
+
+def test_graph_candidates_follow_relations_and_entities(spark):
+    import numpy as np
+
+    docs = [("a", ["x", "y"], ["k"]), ("b", ["z"], ["m"]), ("c", ["y", "w"], []), ("d", [], ["n"]), ("e", ["v"], ["k"])]
+    relations = [("k", "m", 0.4), ("m", "n", 1.0), ("k", "gone", 1.0), ("m", "m", 1.0)]
+    queries = [(1, ["x"], []), (2, ["none"], ["n"])]
+    got = retrieval.graph_candidates(spark.createDataFrame(docs, "id string, terms array<string>, entities array<string>"), spark.createDataFrame(queries, "qid int, terms array<string>, entities array<string>"), relations=spark.createDataFrame(relations, "src string, dst string, weight double")).collect()
+    keys = [*"abcde", *sorted({"t" + t for _, ts, _ in docs for t in ts} | {"e" + t for _, _, es in docs for t in es})]
+    m = np.zeros((len(keys), len(keys)))
+    for i, ts, es in docs:
+        for k in ["t" + t for t in ts] + ["e" + t for t in es]:
+            m[keys.index(i), keys.index(k)] = m[keys.index(k), keys.index(i)] = 1
+    for a, b, w in relations[:2]:
+        m[keys.index("e" + a), keys.index("e" + b)] = m[keys.index("e" + b), keys.index("e" + a)] = w
+    for qid, seed in ((1, "tx"), (2, "en")):
+        s = np.eye(len(keys))[keys.index(seed)]
+        rank = s
+        for _ in range(30):
+            rank = 0.5 * s + 0.5 * rank @ (m / m.sum(axis=1, keepdims=True))
+        assert {r.id: round(r.score, 8) for r in got if r.qid == qid} == {k: round(float(v), 8) for k, v in zip("abcde", rank) if v > 0}
+
+
+def test_graph_ranked_takes_all_steps(spark, data, monkeypatch):
+    from lorekeep.plans import report_queries
+
+    seen = []
+    monkeypatch.setattr(retrieval, "graph_candidates", lambda docs, queries, k=300, steps=30, relations=None: seen.append((docs.columns, k, steps, relations is not None)))
+    report_queries.graph_ranked(spark, data)
+    assert seen == [(["id", "terms", "entities"], 300, 30, True)]
