@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import entity_key, overlap, words
+from lorekeep.sources.scratch import materialise
 from lorekeep.sources.tables import canonical_uuid
 
 #: Archive spellings of record kinds, kinds that a newer record can restate, thresholds.
@@ -95,6 +96,37 @@ def edge_validity(records: DataFrame, valid: DataFrame) -> DataFrame:
     return met.agg(F.min("valid_from").alias("start"), F.when(F.bool_or(F.col("valid_to").isNull()), F.lit(None)).otherwise(F.max("valid_to")).alias("end"), F.countDistinct("id").alias("records"))
 
 
+def asserted(records: DataFrame, valid: DataFrame, entities: DataFrame) -> DataFrame:
+    """Of each relation between canonical entities: src, dst, type, first and last (records by time, id), start, end, records."""
+    rel = records.select("id", F.col("timestamp").alias("ts"), F.inline("creates_relationships")).where("from_entity is not null and to_entity is not null")
+    ends = resolved(resolved(rel, "from_entity", entities).withColumnRenamed("canonical", "src"), "to_entity", entities).withColumnRenamed("canonical", "dst")
+    met = ends.join(valid.select("id", "valid_from", "valid_to"), "id").groupBy("src", "dst", F.col("relation_type").alias("type"))
+    by = F.struct("ts", "id")
+    return met.agg(F.min_by("id", by).alias("first"), F.max_by("id", by).alias("last"), F.min("valid_from").alias("start"), F.when(F.bool_or(F.col("valid_to").isNull()), F.lit(None)).otherwise(F.max("valid_to")).alias("end"), F.countDistinct("id").alias("records"))
+
+
+def graph_timeline(records: DataFrame, valid: DataFrame, entities: DataFrame, low: Column, high: Column, limit: int) -> DataFrame:
+    """The latest `limit` events in [low, high]: at, event, id, src, dst, type, session_id, update_type, title, reason, total.
+
+    Records written and ended, relations added (by the first record that says so) and ended (with the last one that
+    held). At one instant endings come before beginnings, then records in order; `total` counts before the limit.
+    """
+    none = [F.lit(None).cast("string").alias(c) for c in ("src", "dst", "type")]
+    rel = materialise(asserted(records, valid, entities))
+    found = records.select(F.col("timestamp").alias("at"), F.lit(2).alias("n"), "id", *none)
+    found = found.unionByName(valid.select(F.col("valid_to").alias("at"), F.lit(0).alias("n"), "id", *none))
+    found = found.unionByName(rel.select(F.col("start").alias("at"), F.lit(3).alias("n"), F.col("first").alias("id"), "src", "dst", "type"))
+    found = found.unionByName(rel.select(F.col("end").alias("at"), F.lit(1).alias("n"), F.col("last").alias("id"), "src", "dst", "type")).where(F.col("at").between(low, high))
+    total = found.agg(F.count("*").alias("total"))
+    latest = found.orderBy(*[F.desc(c) for c in ("at", "n", "id", "src", "dst", "type")]).limit(limit)
+    event = F.element_at(F.array(*[F.lit(x) for x in ("ended", "relation_ended", "recorded", "relation_added")]), F.col("n") + 1)
+    about = records.select("id", "session_id", "update_type", F.col("content.title").alias("title"))
+    latest = materialise(latest)  # a bounded number of rows, so records and validity are not shuffled for them
+    why = valid.select("id", F.col("reason").alias("why")).join(F.broadcast(latest.select("id").distinct()), "id")
+    out = about.join(F.broadcast(latest), "id").join(F.broadcast(why), "id", "left").crossJoin(F.broadcast(total))
+    return out.select("at", event.alias("event"), "id", "src", "dst", "type", "session_id", "update_type", "title", F.when(F.col("n") < 2, F.col("why")).alias("reason"), "total")
+
+
 def page(df: DataFrame, at: str, ident: str, after: tuple[object, object] | None, size: int) -> DataFrame:
     """A page newest first after a cursor (time, id): at most size + 1 rows; the last one tells that more follow."""
     if after is not None:

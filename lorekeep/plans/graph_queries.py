@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.operators import graph as G
+from lorekeep.operators import temporal as P
 from lorekeep.plans.memory_queries import GRAPH_SQL, KEY_SQL, NOW, records_of
 from lorekeep.sources.scratch import materialise
 from lorekeep.sources.tables import table
@@ -114,6 +115,15 @@ def pagerank_importance(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("entity", F.round("importance", 5).alias("importance"))
 
 
+def as_of_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 most important entities at the start of 2026 and the relations asserted by then between them, a row each (one without relation for an entity that has none)."""
+    r, e, edges = _parts(spark, folder)
+    rollup = materialise(G.mention_rollup(G.mentions_of(r, e), e))
+    relations = materialise(P.asserted(r, P.validity(r, e), e))
+    found = G.as_of(rollup, G.importance(edges, rollup), relations, F.expr("TIMESTAMP_NTZ '2026-01-01 00:00:00'"), 50)
+    return found.select("entity", F.round("importance", 5).alias("importance"), F.expr("inline_outer(edges)"), "nodes", "relations")
+
+
 def _pagerank_sql(steps: int) -> str:
     out = EDGES_SQL.replace("WITH raw", "WITH raw", 1) + f""", roll AS (SELECT entity, 1 + ln(1 + count(*)) t, max(ts) la FROM men GROUP BY entity), nd AS MATERIALIZED (SELECT entity id, t / (SELECT sum(t) FROM roll) sh, greatest(0, (epoch_us((SELECT max(la) FROM roll)) - epoch_us(la)) / 86400000000.0) dy FROM roll),
 un AS MATERIALIZED (SELECT least(src, dst) a, greatest(src, dst) b, sum({_W}) w FROM edge GROUP BY ALL), bo AS MATERIALIZED (SELECT a, b, w / sum(w) OVER (PARTITION BY a) p FROM (SELECT a, b, w FROM un UNION ALL SELECT b, a, w FROM un)), r0 AS (SELECT id, sh AS rk FROM nd)"""
@@ -216,4 +226,4 @@ def readiness(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL["readiness"] = EDGES_SQL + r", dp AS (SELECT id, session_id, regexp_replace(regexp_replace(lower(parent_update),'^[\s{]*(urn:uuid:)?[\s{]*',''),'[\s}\-]+','','g') p FROM rec), dq AS (SELECT id, session_id, CASE WHEN regexp_full_match(p,'[0-9a-f]{32}') THEN p END p FROM dp) SELECT dq.session_id, count(*) FILTER (WHERE p IS NULL OR coalesce(b.update_type IN ('problem_solved','decision_made'), false)) AS ready, count(*) AS total FROM dq LEFT JOIN rec b ON b.h = dq.p GROUP BY 1"
 
-QUERIES = {f.__name__: f for f in (entity_edges, entity_mentions, graph_stats, entity_related, bfs_trace, impact, shortest_path, lineage, pagerank_importance, entity_communities, topics, radar_unsolved, radar_stale, radar_aliases, radar_bare_decisions, files_together, provenance, dependency_cycles, readiness)}
+QUERIES = {f.__name__: f for f in (entity_edges, entity_mentions, graph_stats, entity_related, bfs_trace, impact, shortest_path, lineage, pagerank_importance, as_of_graph, entity_communities, topics, radar_unsolved, radar_stale, radar_aliases, radar_bare_decisions, files_together, provenance, dependency_cycles, readiness)}

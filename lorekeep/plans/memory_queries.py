@@ -61,7 +61,7 @@ SQL["validity_intervals"] = VALID_SQL + " SELECT * FROM val"
 
 
 def as_of_state(spark: SparkSession, folder: str) -> DataFrame:
-    """Records that held at the start of 2026, by session and kind."""
+    """Records that held at the start of 2026, by session and kind."""
     r, v = _valid(spark, folder)
     held = v.where(P.holds_at(F.expr("TIMESTAMP_NTZ '2026-01-01 00:00:00'"))).select("id")
     return r.join(held, "id", "left_semi").groupBy("session_id", "update_type").agg(F.count("*").alias("records"))
@@ -71,7 +71,7 @@ SQL["as_of_state"] = VALID_SQL + " SELECT session_id, update_type, count(*) AS r
 
 
 def timeline(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest 500 events of 2025, a top-k report."""
+    """The latest 500 events of records of 2025, a top-k report; `graph_timeline` has those of relations as well."""
     _, v = _valid(spark, folder)
     return P.timeline(v, F.expr("TIMESTAMP_NTZ '2025-01-01 00:00:00'"), F.expr("TIMESTAMP_NTZ '2025-12-31 23:59:59'"), 500)
 
@@ -79,6 +79,18 @@ def timeline(spark: SparkSession, folder: str) -> DataFrame:
 SQL["timeline"] = VALID_SQL + " SELECT x AS \"at\", event, id FROM (SELECT valid_from AS x, 'recorded' AS event, id FROM val UNION ALL SELECT valid_to, 'ended', id FROM val WHERE valid_to IS NOT NULL) WHERE x BETWEEN TIMESTAMP '2025-01-01' AND TIMESTAMP '2025-12-31 23:59:59' ORDER BY x DESC, event DESC, id DESC LIMIT 500"
 
 
+def graph_timeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest 500 events of records and relations of 2025."""
+    r, v = _valid(spark, folder)
+    return P.graph_timeline(r, materialise(v), table(spark, folder, "entities"), F.expr("TIMESTAMP_NTZ '2025-01-01 00:00:00'"), F.expr("TIMESTAMP_NTZ '2025-12-31 23:59:59'"), 500)
+
+
+SQL["graph_timeline"] = VALID_SQL + """, er AS (SELECT a.c src, b.c dst, rt AS type, arg_min(rel.id, {'t': rel.ts, 'i': rel.id}) f1, arg_max(rel.id, {'t': rel.ts, 'i': rel.id}) l1, min(valid_from) s, CASE WHEN bool_or(valid_to IS NULL) THEN NULL ELSE max(valid_to) END e FROM rel JOIN val ON val.id = rel.id JOIN names a ON a.n = f JOIN names b ON b.n = t GROUP BY ALL),
+ev AS (SELECT timestamp x, 2 n, id, NULL src, NULL dst, NULL AS type FROM rec UNION ALL SELECT valid_to, 0, id, NULL, NULL, NULL FROM val UNION ALL SELECT s, 3, f1, src, dst, type FROM er UNION ALL SELECT e, 1, l1, src, dst, type FROM er),
+w AS (SELECT *, count(*) OVER () total FROM ev WHERE x BETWEEN TIMESTAMP '2025-01-01' AND TIMESTAMP '2025-12-31 23:59:59' ORDER BY x DESC, n DESC, id DESC, src DESC NULLS LAST, dst DESC NULLS LAST, type DESC NULLS LAST LIMIT 500)
+SELECT x AS "at", ['ended','relation_ended','recorded','relation_added'][n + 1] AS event, w.id, src, dst, type, session_id, update_type, content.title AS title, CASE WHEN n < 2 THEN reason END AS reason, total FROM w JOIN rec ON rec.id = w.id LEFT JOIN val ON val.id = w.id"""
+
+
 def edge_validity(spark: SparkSession, folder: str) -> DataFrame:
     """Since when and until when each relation holds."""
     r, v = _valid(spark, folder)
@@ -266,4 +278,4 @@ def named_paths(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.explode(F.array_distinct("paths")).alias("path")).groupBy("path").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (validity_intervals, as_of_state, timeline, edge_validity, browse_page, overview, message_stats, file_touches, session_statistics, latest_documents, bm25_topk, vector_topk, rrf_hybrid, combined_scores, neighbour_messages, document_chunks, best_chunks, passages, packed_context, redacted_documents, text_keys, token_stats, named_paths)}
+QUERIES = {f.__name__: f for f in (validity_intervals, as_of_state, timeline, graph_timeline, edge_validity, browse_page, overview, message_stats, file_touches, session_statistics, latest_documents, bm25_topk, vector_topk, rrf_hybrid, combined_scores, neighbour_messages, document_chunks, best_chunks, passages, packed_context, redacted_documents, text_keys, token_stats, named_paths)}

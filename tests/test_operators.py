@@ -190,3 +190,26 @@ def test_graph_ranked_takes_all_steps(spark, data, monkeypatch):
     monkeypatch.setattr(retrieval, "graph_candidates", lambda docs, queries, k=300, steps=30, relations=None: seen.append((docs.columns, k, steps, relations is not None)))
     report_queries.graph_ranked(spark, data)
     assert seen == [(["id", "terms", "entities"], 300, 30, True)]
+
+
+def test_graph_timeline_has_relation_events(spark):
+    rec = spark.sql("""select * from values
+        ('a', timestamp_ntz'2025-01-01 00:00:00', 's', 'qa', named_struct('title', 'A'), array(named_struct('from_entity', 'x', 'to_entity', 'y', 'relation_type', 'solves'))),
+        ('b', timestamp_ntz'2025-01-03 00:00:00', 's', 'qa', named_struct('title', 'B'), array(named_struct('from_entity', 'x', 'to_entity', 'Y y', 'relation_type', 'solves')))
+        as t(id, timestamp, session_id, update_type, content, creates_relationships)""")
+    valid = spark.sql("""select * from values ('a', timestamp_ntz'2025-01-01 00:00:00', timestamp_ntz'2025-01-02 00:00:00', 'superseded'), ('b', timestamp_ntz'2025-01-03 00:00:00', timestamp_ntz'2025-01-04 00:00:00', 'forgotten') as t(id, valid_from, valid_to, reason)""")
+    entities = spark.createDataFrame([("x", []), ("y", ["yy"])], "name string, aliases array<string>")
+    low, high = F.expr("timestamp_ntz'2025-01-01 00:00:00'"), F.expr("timestamp_ntz'2025-01-31 00:00:00'")
+    rows = temporal.graph_timeline(rec, valid, entities, low, high, 4).collect()
+    assert {(r["at"].day, r.event, r.id, r.dst, r.reason, r.total) for r in rows} == {(2, "ended", "a", None, "superseded", 6), (3, "recorded", "b", None, None, 6), (4, "ended", "b", None, "forgotten", 6), (4, "relation_ended", "b", "y", "forgotten", 6)}
+    rows = temporal.graph_timeline(rec, valid, entities, low, high, 9).collect()
+    assert (1, "relation_added", "a", "x", "y") in {(r["at"].day, r.event, r.id, r.src, r.dst) for r in rows} and len(rows) == 6
+
+
+def test_as_of_graph(spark):
+    t = "timestamp_ntz'2025-01-0{} 00:00:00'".format
+    rollup = spark.sql(f"select * from values ('x', {t(1)}), ('y', {t(2)}), ('z', {t(1)}), ('late', {t(9)}) as t(entity, first_at)")
+    scores = spark.createDataFrame([("x", 0.5), ("y", 0.4), ("z", 0.1), ("late", 1.0)], "entity string, importance double")
+    rel = spark.sql(f"select * from values ('x', 'y', 'solves', {t(1)}, {t(2)}, 1L), ('y', 'x', 'solves', {t(8)}, null, 1L), ('x', 'z', 'solves', {t(1)}, null, 1L) as t(src, dst, type, start, end, records)")
+    got = {r.entity: ([e.dst for e in r.edges], r.nodes, r.relations) for r in graph.as_of(rollup, scores, rel, F.expr(t(5)), 2).collect()}
+    assert got == {"x": (["y"], 3, 2), "y": ([], 3, 2)}
