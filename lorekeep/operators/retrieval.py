@@ -110,6 +110,16 @@ def shared_ranks(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("_start", start).withColumn("rank", F.max("_start").over(w)).drop("_start")
 
 
+def fuse_texts(lists: list[DataFrame], docs: DataFrame) -> DataFrame:
+    """`fuse` where neighbours of one text share a rank, so that copies stay tied. `docs`: id, text; of several rows of an id the smallest text."""
+    lists = [materialise(x.select("qid", "id", "rank")) for x in lists]
+    ids = lists[0].select("id")
+    for x in lists[1:]:
+        ids = ids.union(x.select("id"))
+    texts = materialise(docs.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    return fuse([shared_ranks(x.join(texts, "id", "left")) for x in lists])
+
+
 def fuse(lists: list[DataFrame]) -> DataFrame:
     """Reciprocal rank fusion of rankings (qid, id, rank): qid, id, score; first everywhere is 1. Each list has an id once."""
     rows = None

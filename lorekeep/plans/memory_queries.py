@@ -189,19 +189,29 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
 SQL["vector_topk"] = "SELECT qid, id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) - 1 AS rank FROM (SELECT q.vec_id qid, e.vec_id id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) similarity FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) QUALIFY rank < 10"
 
 
-def rrf_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts and titles ranked by BM25 and fused; equal neighbours share a rank."""
+def _lexical_lists(spark: SparkSession, folder: str) -> list[DataFrame]:
     docs = table(spark, folder, "documents")
-    lists = []
-    for column in ("text", "title"):
-        own = docs.select(F.col("doc_id").alias("id"), F.col(column).alias("text"))
-        lists.append(V.bm25(own, _item_queries(spark, folder), 50))
-    return V.fuse(lists)
+    return [V.bm25(docs.select(F.col("doc_id").alias("id"), F.col(c).alias("text")), _item_queries(spark, folder), 50) for c in ("text", "title")]
+
+
+def rrf_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts and titles ranked by BM25 and fused by position; `rrf_shared` lets copies share a rank."""
+    return V.fuse(_lexical_lists(spark, folder))
 
 
 SQL["rrf_hybrid"] = "WITH " + _bm25_sql("SELECT doc_id id, text FROM documents", "SELECT item_id qid, text FROM eval_items WHERE item_id % 50 = 0", 50, "o1") + ", " + _bm25_sql("SELECT doc_id id, title AS text FROM documents", "SELECT item_id qid, text FROM eval_items WHERE item_id % 50 = 0", 50, "o2").replace("d AS (", "d2 AS (").replace("FROM d)", "FROM d2)").replace(" q AS (", " q2 AS (").replace("FROM q)", "FROM q2)").replace("JOIN q USING", "JOIN q2 USING").replace("\ns AS (", "\ns2 AS (").replace("FROM d),", "FROM d2),").replace(" p AS (", " p2 AS (").replace("FROM p ", "FROM p2 ").replace("\nwr AS", "\nwr2 AS").replace("FROM wr WHERE wr.sc", "FROM wr2 WHERE wr2.sc").replace("\nu AS", "\nu2 AS").replace("JOIN u USING", "JOIN u2 USING").replace(") f, s WHERE", ") f, s2 WHERE").replace("\nr AS", "\nr2 AS").replace("FROM r QUALIFY", "FROM r2 QUALIFY") + " SELECT qid, id, round(sum(1.0 / (61.0 + rank)) / (2 / 61.0), 6) AS score FROM (SELECT * FROM o1 UNION ALL SELECT * FROM o2) GROUP BY qid, id"
 
 
+def rrf_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts and titles ranked by BM25 and fused; equal neighbours share a rank."""
+    return V.fuse_texts(_lexical_lists(spark, folder), table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+SQL["rrf_shared"] = SQL["rrf_hybrid"][: SQL["rrf_hybrid"].rindex(" SELECT qid, id, round(sum(")] + """, tx AS (SELECT doc_id id, min(text) t FROM documents GROUP BY 1), ls AS (SELECT 1 k, qid, id, rank FROM o1 UNION ALL SELECT 2, qid, id, rank FROM o2),
+ch AS (SELECT k, qid, id, rank, CASE WHEN rank = 0 OR t IS DISTINCT FROM lag(t) OVER (PARTITION BY k, qid ORDER BY rank) THEN rank END st FROM ls LEFT JOIN tx USING (id)), sh AS (SELECT qid, id, max(st) OVER (PARTITION BY k, qid ORDER BY rank) rk FROM ch)
+SELECT qid, id, round(sum(1.0 / (61.0 + rk)) / (2 / 61.0), 6) AS score FROM sh GROUP BY qid, id"""
+
+
 def combined_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Relevance and importance of documents, faded by age, with a boost for an author."""
     d = table(spark, folder, "documents").where("updated_at is not null")
@@ -278,4 +288,4 @@ def named_paths(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.explode(F.array_distinct("paths")).alias("path")).groupBy("path").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (validity_intervals, as_of_state, timeline, graph_timeline, edge_validity, browse_page, overview, message_stats, file_touches, session_statistics, latest_documents, bm25_topk, vector_topk, rrf_hybrid, combined_scores, neighbour_messages, document_chunks, best_chunks, passages, packed_context, redacted_documents, text_keys, token_stats, named_paths)}
+QUERIES = {f.__name__: f for f in (validity_intervals, as_of_state, timeline, graph_timeline, edge_validity, browse_page, overview, message_stats, file_touches, session_statistics, latest_documents, bm25_topk, vector_topk, rrf_hybrid, rrf_shared, combined_scores, neighbour_messages, document_chunks, best_chunks, passages, packed_context, redacted_documents, text_keys, token_stats, named_paths)}

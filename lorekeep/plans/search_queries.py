@@ -15,7 +15,7 @@ SQL: dict[str, str] = {}
 
 
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts and titles fused, scored with importance and age, the 20 best of each item (score, newest, id)."""
+    """Two lexical lists (texts and titles; no vector and no graph list) fused, scored with importance and age, the 20 best of each item (score, newest, id)."""
     fused = rrf_hybrid(spark, folder)
     d = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "updated_at", "author")
     score = V.combined_score(F.col("score"), F.lit("document"), F.coalesce("updated_at", F.expr(f"TIMESTAMP_NTZ '{NOW}'")), F.expr(f"TIMESTAMP_NTZ '{NOW}'"), 1.0)

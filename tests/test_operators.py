@@ -213,3 +213,11 @@ def test_as_of_graph(spark):
     rel = spark.sql(f"select * from values ('x', 'y', 'solves', {t(1)}, {t(2)}, 1L), ('y', 'x', 'solves', {t(8)}, null, 1L), ('x', 'z', 'solves', {t(1)}, null, 1L) as t(src, dst, type, start, end, records)")
     got = {r.entity: ([e.dst for e in r.edges], r.nodes, r.relations) for r in graph.as_of(rollup, scores, rel, F.expr(t(5)), 2).collect()}
     assert got == {"x": (["y"], 3, 2), "y": ([], 3, 2)}
+
+
+def test_copies_stay_tied_after_fusion(spark):
+    a = spark.createDataFrame([(1, "x", 0), (1, "y", 1), (1, "z", 2)], "qid int, id string, rank bigint")
+    b = spark.createDataFrame([(1, "z", 0), (1, "y", 1), (1, "x", 2)], "qid int, id string, rank bigint")
+    docs = spark.createDataFrame([("x", "copy"), ("y", "copy"), ("z", "other"), ("u", "copy")], "id string, text string")
+    got = {r.id: r.score for r in retrieval.fuse_texts([a, b], docs).collect()}
+    assert got["x"] == got["y"] == round((1 / 61 + 1 / 62) / (2 / 61), 6) and got["z"] == round((1 / 61 + 1 / 63) / (2 / 61), 6)
