@@ -303,7 +303,8 @@ def similar_sets(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFr
     met = materialise(branches.repartitionById(buckets, "bucket").mapInPandas(_meet_all, "a bigint, b bigint").distinct())
     ends = met.select(F.col("a").alias("key")).union(met.select("b")).distinct()
     shown = seen.join(ends, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "at")).alias("x")).select("key", "x.id", "x.at")
-    texts = rows.select("id", F.col("at").cast("timestamp_ntz").alias("at"), *columns).join(shown, ["id", "at"]).select("key", *columns)
+    delivered = rows.select(F.col("id").alias("_id"), F.col("at").cast("timestamp_ntz").alias("_at"), *columns)
+    texts = delivered.join(shown, (F.col("_id") == F.col("id")) & F.col("_at").eqNullSafe(F.col("at"))).select("key", *[delivered[c] for c in columns])
     sets = materialise(_word_sets(texts).groupBy("key").agg(F.first("words").alias("words")))
     sa, sb = sets.select(F.col("key").alias("a"), F.col("words").alias("wa")), sets.select(F.col("key").alias("b"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))

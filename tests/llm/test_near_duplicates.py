@@ -70,6 +70,15 @@ def test_copies_versions_nulls(spark):
     assert {r.group_id for r in groups.values()} == {"c0"} and groups["t"].class_id == "c0" and groups["long"].class_id == "long" and groups["c5"].links == 1
 
 
+def test_deliveries_without_a_time(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [("a", None, None, text, None), ("b", T, None, text, None), ("c", T, None, text + " another", None), ("d", None, None, text + " third", None)]
+    got = {tuple(r) for r in N.similar_pairs(frame(spark, rows), ["title", "description", "details"]).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")}
+    groups = {r.id: r for r in N.similar_groups(frame(spark, rows), ["title", "description", "details"]).collect()}
+    assert {r.group_id for r in groups.values()} == {"a"} and groups["b"].links == 2
+
+
 def test_empty(spark):
     df = frame(spark, [])
     assert N.similar_pairs(df, ["title", "description", "details"]).count() == 0 and N.similar_groups(df, ["title", "description", "details"]).count() == 0
