@@ -13,55 +13,95 @@ def test_no_placeholders(text):
     assert not R.has_placeholder(R._prose(text))
 
 
-@pytest.mark.parametrize("text", ["Lorem ipsum dolor amet carida postrum.", "Real text.\n\nGravida corpis ulto gravida amet vesti.", "This is filler. This is filler.", "Caption 1: dummy value\nCaption 2: some text", "asdf asdf asdf asdf asdf asdf", "Your content here. Replace this text with your own.", "# T\n\nTexto de relleno: aquí irá el contenido definitivo."])
-def test_filler(text):
-    assert R.has_filler(text)
+@pytest.fixture
+def judge(spark):
+    """filler, page of each text, by trusted labels and what spreads among the texts."""
 
+    def run(*texts, company=()):
+        rows = list(enumerate([*texts, *company]))
+        out = {r.doc_id: r for r in R.labelled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        return [out[i] for i in range(len(texts))]
 
-@pytest.mark.parametrize("text", ["The design review found lorem ipsum in one column; the team replaced it.", "We tested the text of the box.", "it was very very good", ""])
-def test_no_filler(text):
-    assert not R.has_filler(text)
+    return run
 
 
-def page(text):
-    return R.core_of(R._prose(text))[1]
+def test_trusted_filler(judge):
+    texts = ["Lorem ipsum dolor amet consectetur adipiscing.", "This is filler. This is filler.", "Caption 1: dummy value\nCaption 2: some text", "asdf asdf asdf asdf asdf asdf", "Your content here. Replace this text with your own.", "# T\n\nTexto de relleno: aquí."]
+    assert all(r.filler and not r.page and not r.spread for r in judge(*texts))
 
 
-@pytest.mark.parametrize("text", ["Please enable JavaScript to view this page.", "Menu  Home  Boards  Docs  Sign in\nAccess denied\nYou have no permission to open x.\n© X", "A plain title\n\nHTTP 502\nupstream closed the connection\nserver: x/1.2", '{"error":{"code":404}}', "404 Not Found\n\nThe address /a is not on this server.\nReference ab12", "Loading…\n\nIf nothing happens, switch scripts on.", "Traceback: relay failed while rendering template a/b.go: internal error, request 2f"])
-def test_error_pages(text):
-    assert page(text)
+def test_no_filler(judge):
+    texts = ["The design review found lorem ipsum in one column; the team replaced it.", "We tested the text of the box.", "it was very very good", "", None]
+    assert not any(r.filler or r.page for r in judge(*texts))
+
+
+def test_pretended_latin_is_learned(judge):
+    import random
+
+    rnd = random.Random(3)
+    invented = "lorem ipsum dolor amet zugra fobilla mentrox sardim plovia kresta".split()
+    known = [" ".join(rnd.choices(invented, k=9)).capitalize() + "." for _ in range(60)]
+    texts = ["Real words stand here.\n\nZugra fobilla mentrox sardim plovia kresta zugra.", "Unknown quilmo traspen vordik lanu besto."]
+    got = judge(*texts, company=known)
+    assert [(r.filler, r.spread) for r in got] == [(True, True), (False, False)]
+
+
+def test_filler_by_company(judge):
+    odd = "This box only keeps its place."
+    beside = [f"Sample text goes here. {odd} Number {i} follows in the list of it." for i in range(3)]
+    got = judge(f"{odd}", "The box keeps a place for everything else that comes.", company=beside)
+    assert [(r.filler, r.spread) for r in got] == [(True, True), (False, False)]
+
+
+@pytest.mark.parametrize("text", ["Please enable JavaScript to view this page.", "Menu  Home  Boards  Docs  Sign in\nAccess denied\nYou have no permission to open x.\n© X", '{"error":{"code":404}}', "404 Not Found\n\nThe address /a is not on this server.\nReference ab12", "Loading…\n\nIf nothing happens, switch scripts on.", "Traceback: relay failed while rendering template a/b.go: internal error, request 2f", "HTTP 502\n" + "Access denied\n" * 60])
+def test_error_pages(judge, text):
+    (got,) = judge(text)
+    assert got.page and not got.spread
 
 
 @pytest.mark.parametrize("text", ["The page handler returns 404 Not Found when it is empty, and a test covers it.", "We dropped the notice that asked people to enable JavaScript.", 'The message "access denied" confused them.', "Access denied\n\nThis report explains why the login failed on Monday.", "", "© X", "Loading…"])
-def test_no_error_pages(text):
-    assert not page(text)
+def test_no_error_pages(judge, text):
+    assert not judge(text)[0].page
 
 
 def test_tables(spark):
-    variant = "Our portal needs a newer browser now. Press reload after the update of it, then sign in again with your name and go on to the board of your team today."
-    rows = [(1, "Access denied", "x"), (2, None, "x"), (3, "", "x"), (4, " ​\n", "x"), (5, "Dear {{ x }}", None), (6, variant, "x"), (6, variant, "x"), (7, "real words " * 30_000, "x"), (8, "T\n\nAccess denied", "x"), (9, "words " * 9, "x")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, core string")
-    got = sorted((r.doc_id, r.placeholder, r.filler, r.page or r.spread) for r in R.labelled(df).collect())
+    rows = [(1, "Access denied", "x"), (2, None, "x"), (3, "", "x"), (4, " ​\n", "x"), (5, "Dear {{ x }}", None), (6, "a note", "x"), (6, "a note", "x"), (7, "real words " * 30_000, "x"), (8, "T\n\nAccess denied", "x"), (9, "words " * 9, "x"), (None, "Access denied", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, code string")
+    got = [(r.doc_id, r.placeholder, r.filler, r.page) for r in R.labelled(df).collect()]
     assert len(got) == len(rows)
-    assert {i for i, *f in got if any(f)} == {1, 5, 8, 9}  # nine times one word is filler
+    assert {i for i, *f in got if any(f)} == {None, 1, 5, 8, 9}  # nine times one word is filler
     assert R.labelled(df.limit(0)).count() == 0
 
 
-def test_labels_spread_through_near_duplicates(spark):
-    page = [f"We could not load this {chr(97 + i % 26)}{chr(97 + i // 26)}panel of the board." for i in range(35)]
-    near = page[:-1] + ["They could not load this last panel of the board."]
-    far = page[:8] + [f"The team has moved {chr(97 + i)} to another place and wrote it down." for i in range(20)]
-    df = spark.createDataFrame([(1, "\n".join(page)), (2, "\n".join(near)), (3, "\n".join(far)), (4, "nothing alike at all here")], "doc_id bigint, text string")
-    got = {r.doc_id: (r.page, r.spread) for r in R.labelled(df).collect()}
-    assert got == {1: (True, True), 2: (False, True), 3: (False, False), 4: (False, False)}
+def test_labels_spread_through_near_duplicates(judge):
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}panel" for i in range(35)]
+    page = "We cannot load this board with " + " ".join(words) + "."
+    near = "They cannot load this board with " + " ".join(words) + "."
+    farther = "They cannot load this board with " + " ".join(words) + " now."
+    other = "They cannot load this board with " + " ".join(words[:8]) + " but all others " + " ".join(w + "s" for w in words[8:]) + "."
+    got = judge(page, near, farther, other, "nothing alike at all here")
+    assert [(r.page, r.spread) for r in got] == [(True, False), (True, True), (True, True), (False, False), (False, False)]
 
 
-def test_simhash_tables_find_all_within_distance(spark):
+def test_recall_of_near_wordings_against_brute_force(spark):
     import random
 
-    rnd = random.Random(4)
-    base = [rnd.getrandbits(63) for _ in range(40)]
-    rows = list(enumerate(base + [b ^ sum(1 << k for k in rnd.sample(range(63), rnd.randrange(1, 16))) for b in base]))
-    got = {tuple(r) for r in R.near_cores(spark.createDataFrame(rows, "core bigint, simhash bigint")).collect()}
-    apart = {(a, b): (x ^ y).bit_count() for a, x in rows for b, y in rows if a < b}
-    assert {p for p, d in apart.items() if d <= R.BLOCKS - 2} <= got <= {p for p, d in apart.items() if d <= R.HAMMING}
+    rnd = random.Random(5)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    known = [[rnd.choice(vocabulary) for _ in range(rnd.randrange(14, 60))] for _ in range(120)]
+    rows = []
+    for ws in known:
+        for _ in range(3):
+            edited = list(ws)
+            for _ in range(rnd.randrange(1, 3)):
+                edited[rnd.randrange(len(edited))] = rnd.choice(vocabulary)
+            rows.append(edited)
+    docs = spark.createDataFrame(list(enumerate(" ".join(w) for w in known + rows)), "doc_id bigint, text string")
+    units = R.read_documents(docs).selectExpr("doc_id", "posexplode(units) as (at, u)").selectExpr("doc_id", "at", "u.code", "u.sim", "u.size - 4 as shingled")
+    found = {r.code for r in R.near_wordings(units, units.where(f"doc_id < {len(known)}").selectExpr("*", "2 as kind"), docs).collect()}
+    code = {r.doc_id: r.code for r in units.collect()}
+    sets = [{tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} for ws in known + rows]
+    true = {code[j] for j in range(len(known), len(sets)) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(len(known)))}
+    new = {code[j] for j in range(len(known), len(sets))}
+    assert found & new <= true
+    assert len(true) > 50 and len(found & true) >= 0.9 * len(true)
