@@ -30,9 +30,10 @@ from lorekeep.sources.scratch import materialise, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Blocks of a SimHash of which two make a table's key (45 tables of 12 or 13 bits), and the widest distance verified:
-#: of pairs with a similarity of just 0.8 nine in ten meet, of closer ones more.
-BLOCKS, HAMMING = 10, 18
+#: Tables of a SimHash, one for each block of 16 bits; the bits by which a trusted wording's block may differ from the key
+#: it looks up (so all pairs within 11 bits meet, and most within HAMMING, the widest distance that is verified). Only
+#: the few trusted wordings look up many keys; each wording of the collection stands in four tables.
+BLOCKS, RADIUS, HAMMING = 4, 2, 18
 #: Documents a wording must stand in, and the share of its places that must lie beside labelled wordings, to be labelled
 #: by its company; how far company reaches.
 SUPPORT, COMPANY, REACH = 3, 0.5, 2
@@ -125,7 +126,7 @@ _ENDS = frozenset(".!?。！？")
 _FILL_HINTS = frozenset("filler dummy placeholder sample blind text copy content value paragraph texts values paragraphs blindtext fülltext platzhaltertext relleno remplissage faux".split())
 _MSG_HINTS = frozenset(
     "javascript js script scripts scripting cookies noscript browser human robot denied forbidden verweigert refusé denegado permission allowed authorized session found gefunden introuvable encontrada page address url site website file resource document server service maintenance oops wrong "
-    "error occurred http https request unauthorized method timeout gone requests implemented gateway unavailable erreur fehler traceback trace stacktrace exception".split()
+    "load open show reach error occurred http https request unauthorized method timeout gone requests implemented gateway unavailable erreur fehler traceback trace stacktrace exception".split()
 )
 
 
@@ -391,29 +392,40 @@ def _wording_shingles(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "code bigint, shingles array<bigint>").groupBy("code").agg(F.first("shingles").alias("shingles"))
 
 
+def _block(k: int) -> Column:
+    width = 64 // BLOCKS
+    return F.shiftrightunsigned("sim", k * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+
+
 def _tables(wordings: DataFrame) -> DataFrame:
     """A row a table of each wording: t, key."""
-    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
-    masks = [((1 << (high - low)) - 1) << low for low, high in zip(edges, edges[1:])]
+    return wordings.select(*wordings.columns, F.inline(F.array(*[F.struct(F.lit(k).alias("t"), _block(k).alias("key")) for k in range(BLOCKS)])))
+
+
+def _probes(wordings: DataFrame) -> DataFrame:
+    """A row for each key that is at most RADIUS bits away from a wording's own, in each table: t, key."""
+    flips = [sum(1 << b for b in bits) for r in range(RADIUS + 1) for bits in combinations(range(64 // BLOCKS), r)]
+    around = F.array(*[F.lit(f).cast("bigint") for f in flips])
 
-    def signed(v: int) -> int:
-        return v - (1 << 64) if v >= 1 << 63 else v
+    def table(k: int) -> Column:
+        return F.transform(around, lambda f: F.struct(F.lit(k).alias("t"), _block(k).bitwiseXOR(f).alias("key")))
 
-    keys = [F.struct(F.lit(k).alias("t"), F.col("sim").bitwiseAND(F.lit(signed(masks[i] | masks[j]))).alias("key")) for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
-    return wordings.select(*wordings.columns, F.inline(F.array(*keys)))
+    keys = F.flatten(F.array(*[table(k) for k in range(BLOCKS)]))
+    return wordings.select(*wordings.columns, F.inline(keys))
 
 
 def near_wordings(wordings: DataFrame, known: DataFrame, documents: DataFrame) -> DataFrame:
     """Wordings similar to known ones: code, kind. `wordings`: code, sim, shingled, doc_id, at; `known`: the same and kind.
 
-    Only `known` decides which candidates there are: its tables (small next to the collection's) are joined with those
-    of all wordings long enough to have near-duplicates, cut by Hamming distance and by the number of shingles.
+    Only `known` decides which candidates there are: the keys it looks up are joined with the tables of all wordings long
+    enough to have near-duplicates; candidates are cut by Hamming distance and by the number of shingles.
     """
-    left = _tables(wordings.where("sim is not null").select("code", "sim", "shingled", "doc_id", "at"))
-    right = _tables(known.where("sim is not null").select(F.col("code").alias("near"), "sim", F.col("shingled").alias("most"), "kind", F.col("doc_id").alias("near_doc"), F.col("at").alias("near_at"))).withColumnRenamed("sim", "near_sim")
+    long = wordings.where("sim is not null")
+    left = _tables(long.select("code", "sim", "shingled"))
+    right = _probes(known.where("sim is not null").select(F.col("code").alias("near"), "sim", F.col("shingled").alias("most"), "kind")).withColumnRenamed("sim", "near_sim")
     ok = (F.col("code") != F.col("near")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("near_sim"))) <= HAMMING) & (F.least("shingled", "most") >= SIMILARITY * F.greatest("shingled", "most"))
-    pairs = materialise(left.join(right, ["t", "key"]).where(ok).select("code", "doc_id", "at", "near", "near_doc", "near_at", "kind").distinct())
-    ends = pairs.select("code", "doc_id", "at").union(pairs.select("near", "near_doc", "near_at")).distinct()
+    pairs = materialise(left.join(right, ["t", "key"]).where(ok).select("code", "near", "kind").distinct())
+    ends = pairs.select("code").union(pairs.select("near")).distinct().join(long.select("code", "doc_id", "at"), "code")
     texts = materialise(_wording_shingles(documents, ends))
     shared = F.size(F.array_intersect("sa", "sb"))
     both = pairs.join(texts.select("code", F.col("shingles").alias("sa")), "code").join(texts.select(F.col("code").alias("near"), F.col("shingles").alias("sb")), "near")
