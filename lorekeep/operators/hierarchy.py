@@ -1,16 +1,14 @@
 """Parent-child links of unknown depth: root, depth, rings, paths and descendants of every node.
 
 Links are contracted in partition-local weighted disjoint-set forests (a node's weight is its offset to the local
-root). What is left are links between local roots of different partitions; these forests are merged level by level:
-while more links remain than one task may hold, every local root jumps to its parent's jump (offsets add up); below
-that bound a single forest closes them. Only nodes in or below a ring are looked at again, by the same two means.
-Nothing but counts reaches the driver.
+root). What is left are links between local roots of different partitions; these forests are merged level by level, in
+joins: at each level every local root that is not done jumps to where its parent has come (offsets add up), so the
+levels number the logarithm of the longest chain of forests. Only nodes in or below a ring are looked at again, by the
+same jumps. It is one way for all sizes; nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,8 +16,6 @@ from pyspark.sql import functions as F
 
 from lorekeep.sources.scratch import materialise, release
 
-#: Links that one task may hold; more are merged by distributed jumps first.
-TASK_LINKS = 500_000
 #: Nodes of one local forest; larger groups are split.
 FOREST_NODES = 200_000
 RING, BELOW = -1, -2
@@ -78,91 +74,47 @@ def _trails(ids: np.ndarray, ups: np.ndarray, far: np.ndarray, mark: np.ndarray)
     return out
 
 
-def _close(pdf: pd.DataFrame, trails: bool) -> pd.DataFrame:
-    """The last merge: one forest over all links that are left."""
-    ids, ups = pdf["id"].to_numpy(object), pdf["up"].to_numpy(object)
-    known = set(ids)
-    ends = np.array(sorted({u for u in ups if u not in known}), dtype=object)
-    every, to = np.concatenate([ids, ends]), np.concatenate([ups, np.full(len(ends), None, dtype=object)])
-    root, far, mark = forest(every, to, np.concatenate([pdf["far"].to_numpy(), np.zeros(len(ends))]))
-    n = len(ids)
-    out = pd.DataFrame({"id": ids, "root": every[root[:n]], "far": far[:n], "mark": mark[:n]})
-    if trails:
-        own = dict(zip(ids, pdf["trail"]))
-        at: dict[str, list[str]] = {}
-        steps = np.where(mark == 0, far, np.iinfo(np.int64).max)
-        for i in np.argsort(steps, kind="stable"):
-            if mark[i] == 0:
-                at[every[i]] = [*at[to[i]], *own[every[i]]] if i < n else []
-        out["trail"] = [at.get(i, []) for i in ids]
-    return out
-
-
-def _one_task(links: DataFrame, trails: bool) -> DataFrame:
-    schema = "id string, root string, far bigint, mark bigint" + (", trail array<string>" if trails else "")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if parts:
-            yield _close(pd.concat(parts, ignore_index=True), trails)
-
-    return links.repartition(1).mapInPandas(run, schema)
-
-
-def close_links(links: DataFrame, task_links: int = TASK_LINKS, trails: bool = False) -> DataFrame:
+def close_links(links: DataFrame, trails: bool = False) -> DataFrame:
     """Follows links (id, up, far[, trail]) to their ends: id, root, far, mark[, trail].
 
     A root is an `up` that is no id. Rings get mark RING, what leads into one BELOW, root then being the smallest id on
-    it. At most `task_links` links go to one task; more are halved by jumps, in joins, until they are that few or done.
-    Ids must be unique and neither null.
+    it. Each level doubles the reach of all links that are not done, by one join; links that are done leave the loop and
+    only answer those that jump onto them. Ids must be unique and neither null.
     """
-    links = materialise(links)
-    count = links.count()
-    if count <= task_links:
-        return _one_task(links, trails)
-    width = ["id", "up", "far", "low", *(["trail"] if trails else [])]
-    state = links.withColumn("low", F.col("id"))
-    done: list[DataFrame] = []
-    before, span, ringed = -1, 1, False
+    own = ["trail"] if trails else []
+    blank = F.array().cast("array<string>").alias("trail")
+    state = materialise(links.select("id", "up", "far", F.col("id").alias("low"), *own))
+    count, span, done = state.count(), 1, None
     while count:
-        ahead = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("low").alias("low2"), *([F.col("trail").alias("trail2")] if trails else []))
-        if done:  # what is finished still answers those that jump onto it
-            for d in done:
-                ahead = ahead.unionByName(d.select(F.col("id").alias("up"), F.col("root").alias("up2"), F.col("far").alias("far2"), F.lit(None).cast("string").alias("low2"), *([F.col("trail").alias("trail2")] if trails else [])))
-        grown = state.join(ahead, "up", "left").select(
-            "id",
-            F.coalesce("up2", "up").alias("up"),
-            (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"),
-            F.least("low", "low2").alias("low"),
-            *([F.when(F.col("up2").isNotNull(), F.concat("trail2", "trail")).otherwise(F.col("trail")).alias("trail")] if trails else []),
-            F.col("low2").isNotNull().alias("on"),
+        ahead = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("low").alias("low2"), *[F.col(c).alias(c + "2") for c in own])
+        if done is not None:
+            ahead = ahead.unionByName(done.select(F.col("id").alias("up"), F.col("root").alias("up2"), F.col("far").alias("far2"), F.lit(None).cast("string").alias("low2"), *[F.col(c).alias(c + "2") for c in own]))
+        met = F.col("up2").isNotNull()
+        grown = materialise(
+            state.join(ahead, "up", "left").select(
+                "id", F.coalesce("up2", "up").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.least("low", "low2").alias("low"), *[F.when(met, F.concat(c + "2", c)).otherwise(F.col(c)).alias(c) for c in own], F.col("low2").isNotNull().alias("on")
+            )
         )
-        grown = materialise(grown)
-        if state is not links:
-            release(state)
-        done.append(grown.where("not on").select("id", F.col("up").alias("root"), "far", *(["trail"] if trails else [])))
-        state = grown.where("on").select(*width)
-        state._lorekeep_path = None
-        before, count, span = count, state.count(), span * 2
-        if count == before:
-            ringed = True
-        if ringed and span >= count:
+        ended = grown.where("not on").select("id", F.col("up").alias("root"), "far", *own)
+        done = ended if done is None else done.unionByName(ended)
+        state, before = grown.where("on").drop("on"), count
+        count = state.count()
+        if span >= before:  # what has gone further than there are links is caught
             break
-    closed = None
-    for d in done:
-        part = d.select("id", "root", "far", F.lit(0).cast("bigint").alias("mark"), *(["trail"] if trails else []))
-        closed = part if closed is None else closed.unionByName(part)
+        span *= 2
+    if done is None:
+        return state.select("id", F.col("up").alias("root"), "far", F.lit(0).cast("bigint").alias("mark"), *own)
+    closed = done.select("id", "root", "far", F.lit(0).cast("bigint").alias("mark"), *own)
     if count:
         ring = state.select(F.col("up").alias("on_ring")).distinct()
         lows = state.join(ring, state["id"] == ring["on_ring"], "left_semi").select(F.col("id").alias("up"), F.col("low").alias("root"))
         rest = state.drop("low").join(lows, "up", "left").join(ring, F.col("id") == F.col("on_ring"), "left")
-        closed = closed.unionByName(
-            rest.select("id", "root", "far", F.when(F.col("on_ring").isNotNull(), F.lit(RING)).otherwise(F.lit(BELOW)).cast("bigint").alias("mark"), *([F.array().cast("array<string>").alias("trail")] if trails else []))
-        )
+        mark = F.when(F.col("on_ring").isNotNull(), F.lit(RING)).otherwise(F.lit(BELOW)).cast("bigint")
+        closed = closed.unionByName(rest.select("id", "root", "far", mark.alias("mark"), *([blank] if trails else [])))
     return closed
 
 
-def hierarchy(nodes: DataFrame, trails: bool = False, task_links: int = TASK_LINKS, forest_nodes: int = FOREST_NODES) -> DataFrame:
+def hierarchy(nodes: DataFrame, trails: bool = False, forest_nodes: int = FOREST_NODES) -> DataFrame:
     """Root and depth of every node of `nodes` (id, parent, grp): id, parent, root_id, depth[, path].
 
     `grp` only says which nodes probably belong together (a session); links may cross it. Groups beyond `forest_nodes`
@@ -170,9 +122,10 @@ def hierarchy(nodes: DataFrame, trails: bool = False, task_links: int = TASK_LIN
     one -2, and root_id is the smallest id on it. `path` lists the ids from the root to the node (null for rings).
     Rows with a null id are no nodes; ids must be unique. Any other columns are ignored. Empty in, empty out.
     """
-    nodes = nodes.where(F.col("id").isNotNull()).select("id", "parent", "grp")
+    nodes = materialise(nodes.where(F.col("id").isNotNull()).select("id", "parent", "grp"))
     ups = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
-    linked = nodes.join(ups, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("up"), "grp")
+    named = nodes.where("parent is not null").join(ups, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("up"), "grp")
+    linked = named.unionByName(nodes.where("parent is null").select("id", F.lit(None).cast("string").alias("up"), "grp"))
     sizes = nodes.groupBy("grp").count().where(F.col("count") > forest_nodes).select("grp", F.ceil(F.col("count") / forest_nodes).alias("split"))
     linked = linked.join(sizes, linked["grp"].eqNullSafe(sizes["grp"]), "left").select("id", "up", linked["grp"], F.pmod(F.xxhash64("id"), F.coalesce("split", F.lit(1))).alias("salt"))
     total = nodes.count()
@@ -180,21 +133,22 @@ def hierarchy(nodes: DataFrame, trails: bool = False, task_links: int = TASK_LIN
     schema = "id string, up string, anchor string, far bigint, caught boolean, anchor_up string" + (", trail array<string>" if trails else "")
     local = linked.groupBy(F.pmod(F.xxhash64("grp", "salt"), F.lit(forests)).alias("bucket")).applyInPandas(lambda pdf: _local(pdf, trails), schema)
     local = materialise(local)
+    release(nodes)
 
     tops = local.where("id = anchor and up is not null and not caught").select(F.col("id").alias("low_root"), "up")
     over = local.select(F.col("id").alias("up"), F.col("anchor").alias("next"), F.col("far").alias("step"), F.col("caught").alias("lost"), *([F.col("trail").alias("steps")] if trails else []))
     merged = tops.join(over, "up").select(
         F.col("low_root").alias("id"), F.when(F.col("lost"), F.col("up")).otherwise(F.col("next")).alias("up"), (F.when(F.col("lost"), 0).otherwise(F.col("step")) + 1).alias("far"), *([F.concat("steps", F.array("low_root")).alias("trail")] if trails else [])
     )
-    closed = close_links(merged, task_links, trails)
-    closed = materialise(closed.withColumnsRenamed({"id": "anchor", "root": "top", "far": "more", **({"trail": "above"} if trails else {})}))
+    closed = close_links(merged, trails).withColumnsRenamed({"id": "anchor", "root": "top", "far": "more", **({"trail": "above"} if trails else {})})
+    # what ends in a node that a local forest caught is caught too; settled for forests, so that no tree's root is a join's key for all its nodes
     lost = local.where("caught").select(F.col("id").alias("top"), F.lit(True).alias("in_lost"))
-    full = local.join(closed, "anchor", "left")
-    full = full.withColumn("top", F.coalesce("top", "anchor")).join(lost, "top", "left").withColumn("ringed", F.col("caught") | (F.coalesce("mark", F.lit(0)) != 0) | F.coalesce("in_lost", F.lit(False)))
+    closed = materialise(closed.join(lost, "top", "left").withColumn("mark", F.when(F.col("in_lost"), F.lit(BELOW)).otherwise(F.col("mark")).cast("bigint")).drop("in_lost"))
+    full = local.join(closed, "anchor", "left").withColumn("ringed", F.col("caught") | (F.coalesce("mark", F.lit(0)) != 0)).withColumn("top", F.coalesce("top", "anchor"))
     full = materialise(full.select("id", "up", "top", (F.col("far") + F.coalesce("more", F.lit(0))).alias("depth"), "ringed", *([F.concat(F.array("top"), F.coalesce("above", F.array().cast("array<string>")), "trail").alias("path")] if trails else [])))
     release(local, closed)
 
-    rings = close_links(full.where("ringed").select("id", "up", F.lit(1).cast("bigint").alias("far")), task_links)
+    rings = close_links(full.where("ringed").select("id", "up", F.lit(1).cast("bigint").alias("far")))
     trees = full.where("not ringed").select("id", F.col("up").alias("parent"), F.col("top").alias("root_id"), "depth", *(["path"] if trails else []))
     caught = full.where("ringed").select("id", F.col("up").alias("parent")).join(rings.select("id", F.col("root").alias("root_id"), F.col("mark").alias("depth")), "id")
     if trails:
@@ -217,7 +171,7 @@ def latest_by(df: DataFrame, key: Column, order: Column, *kept: str) -> DataFram
     return best.select("id", *[F.col(f"x.{k}").alias(k) for k in kept])
 
 
-def components(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): id, component (the smallest id of it).
 
     Every node links to its smallest neighbour if that is smaller than itself; such links form a forest, which
@@ -230,7 +184,7 @@ def components(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     left = both
     while not left.isEmpty():
         links = left.groupBy("a").agg(F.min("b").alias("up")).where("up < a").select(F.col("a").alias("id"), "up", F.lit(1).cast("bigint").alias("far"))
-        roots = materialise(close_links(links, task_links).select(F.col("id").alias("was"), "root"))
+        roots = materialise(close_links(links).select(F.col("id").alias("was"), "root"))
         nodes = nodes.join(roots, F.col("component") == F.col("was"), "left").select("id", F.coalesce("root", "component").alias("component"))
         nodes = materialise(nodes)
         ra, rb = roots.select(F.col("was").alias("a"), F.col("root").alias("ra")), roots.select(F.col("was").alias("b"), F.col("root").alias("rb"))

@@ -16,12 +16,14 @@ _OPEN: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder of spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
+    """The cluster's folder of spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         known = known.get() if known.isDefined() else None
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="lorekeep-")
         spark.sparkContext.setCheckpointDir(known)
     return str(known).rstrip("/")

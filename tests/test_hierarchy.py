@@ -25,8 +25,8 @@ def brute(parents):
     return out
 
 
-@pytest.mark.parametrize("task_links,forest_nodes", [(500_000, 200_000), (3, 5)])
-def test_random_forests_and_rings(spark, task_links, forest_nodes):
+@pytest.mark.parametrize("forest_nodes", [200_000, 5])
+def test_random_forests_and_rings(spark, forest_nodes):
     rnd = random.Random(7)
     ids = [f"n{i:03d}" for i in range(150)]
     parents = {i: rnd.choice([None, "gone", *ids[:k], *([rnd.choice(ids)] if k % 9 == 0 else [])]) for k, i in enumerate(ids)}
@@ -34,7 +34,7 @@ def test_random_forests_and_rings(spark, task_links, forest_nodes):
     parents |= {"r1": "r2", "r2": "r3", "r3": "r1", "s": "s", "below": "r2"}
     rows = [(i, p, f"g{rnd.randrange(4)}") for i, p in parents.items()]
     df = spark.createDataFrame(rows, NODES)
-    got = {r.id: r for r in H.hierarchy(df, trails=True, task_links=task_links, forest_nodes=forest_nodes).collect()}
+    got = {r.id: r for r in H.hierarchy(df, trails=True, forest_nodes=forest_nodes).collect()}
     expected = brute(parents)
     assert {i: (r.root_id, r.depth) for i, r in got.items()} == expected
     for i, r in got.items():
@@ -58,10 +58,9 @@ def test_descendants(spark):
     assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("a", "d", 1)}
 
 
-@pytest.mark.parametrize("task_links", [500_000, 2])
-def test_components(spark, task_links):
+def test_components(spark):
     edges = [("a", "b"), ("b", "c"), ("x", "y"), ("a", "a"), (None, "q"), ("a", "b"), ("z", "y"), ("k", "m"), ("m", "l"), ("l", "j")]
-    got = {r.id: r.component for r in H.components(spark.createDataFrame(edges, "a string, b string"), task_links).collect()}
+    got = {r.id: r.component for r in H.components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x", "k": "j", "m": "j", "l": "j", "j": "j"}
     assert H.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
@@ -83,3 +82,11 @@ def test_records_latest_row_holds(spark, data, tmp_path):
     (tmp_path / "none").mkdir()
     t.limit(0).write.parquet(str(tmp_path / "none" / "records.parquet"))
     assert R.p1_found(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_links_close_in_joins_alone(spark):
+    rows = [(f"n{i:02d}", f"n{i - 1:02d}", 1) for i in range(1, 40)] + [("x", "y", 2), ("y", "z", 3), ("z", "x", 1), ("w", "x", 5)]
+    got = {r.id: (r.root, r.mark) for r in H.close_links(spark.createDataFrame(rows, "id string, up string, far bigint")).collect()}
+    assert got == {f"n{i:02d}": ("n00", 0) for i in range(1, 40)} | {k: ("x", -1) for k in "xyz"} | {"w": ("x", -2)}
+    far = {r.id: r.far for r in H.close_links(spark.createDataFrame(rows[:39], "id string, up string, far bigint")).collect()}
+    assert far == {f"n{i:02d}": i for i in range(1, 40)}
