@@ -3,7 +3,8 @@
 Blocks are read once into a few flags a turn. A turn without a conversation of its own gets that of the nearest
 ancestor that has one, by pointer jumping over parents (in distributed joins, offsets doubling; rings and loose ends
 fall out). Defects are aggregates over conversations, combined before the shuffle, so no conversation is ever gathered
-in one place, however large. Kept conversations come out as root-to-leaf paths, forks as a path each.
+in one place, however large. Kept conversations come out as root-to-leaf paths, forks as a path each; runs of turns are
+contracted before paths are listed.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.hierarchy import close_links, hierarchy
+from lorekeep.operators.ordering import with_previous
 from lorekeep.sources.scratch import materialise
 
 #: Spellings of roles; stops that are no answer.
@@ -37,8 +39,6 @@ def _filled(c: Column) -> Column:
     return F.when(F.trim(c) != "", F.trim(c))
 
 
-
-
 def _block(v: Column) -> Column:
     """kind, id, stop and visibility of a block (a variant), in the tagged or the one-of form."""
 
@@ -91,7 +91,7 @@ def turns(messages: DataFrame) -> DataFrame:
     return first.select("session_id", "turn_id", *[F.col(f"x.{k}").alias(k) for k in kept])
 
 
-def _key(session: str = "session_id", turn: str = "turn_id") -> Column:
+def _key(session: str = "session_id", turn: Column | str = "turn_id") -> Column:
     return F.concat_ws("\u0001", session, turn)
 
 
@@ -136,15 +136,30 @@ def conversations(messages: DataFrame) -> DataFrame:
 
     A turn follows its parent; one that names none follows the turn before it. Every leaf has a path from its root;
     where the links of a conversation lead in a ring those turns are left out. Ordinals count from 0.
+
+    Runs of turns with one follower each are contracted to segments first, so the tree whose paths are listed has a node
+    a fork, and no turn gets a path of its own: the work is that of the rows that come out.
     """
     t = materialise(assigned(turns(messages)))
     kept = defects(t).where("defect is null").select("session_id", "conv")
-    own = materialise(t.join(kept, ["session_id", "conv"]).select("session_id", "conv", "turn_id", "parent", "speaker", "seq"))
-    before = F.lag("turn_id").over(Window.partitionBy("session_id", "conv").orderBy("seq", "turn_id"))
-    linked = own.withColumn("parent", F.coalesce("parent", before))
-    nodes = linked.select(_key().alias("id"), F.when(F.col("parent").isNotNull(), _key("session_id", "parent")).alias("parent"), F.concat_ws("\u0001", "session_id", "conv").alias("grp"))
-    paths = hierarchy(nodes, trails=True).where("path is not null").select("id", "path")
-    inner = linked.where("parent is not null").select(_key("session_id", "parent").alias("id")).distinct()
-    leaves = materialise(paths.join(inner, "id", "left_anti"))
-    steps = leaves.select(F.element_at(F.split("id", "\u0001"), 2).alias("leaf"), F.posexplode("path").alias("ordinal", "id"))
-    return steps.join(own.withColumn("id", _key()), "id").select("session_id", "conv", "leaf", F.col("ordinal").cast("bigint").alias("ordinal"), "turn_id", "speaker", "seq")
+    own = t.join(kept, ["session_id", "conv"]).select("session_id", "conv", "turn_id", "parent", "speaker", "seq")
+    linked = with_previous(own, ["session_id", "conv"], ["seq", "turn_id"], {"turn_id": "before"})
+    group = F.concat_ws("\u0001", "session_id", "conv")
+    linked = materialise(linked.select(_key().alias("id"), F.when(F.coalesce("parent", "before").isNotNull(), _key("session_id", F.coalesce("parent", "before"))).alias("parent"), group.alias("grp"), "session_id", "conv", "turn_id", "speaker", "seq"))
+    followers = linked.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("followers"))
+    forks = followers.where("followers > 1").select(F.col("id").alias("parent"), F.lit(True).alias("fork"))
+    within = linked.where("parent is not null").join(forks, "parent", "left").select("id", F.when(F.col("fork").isNull(), F.col("parent")).alias("parent"), "grp")
+    runs = hierarchy(within.unionByName(linked.where("parent is null").select("id", "parent", "grp"))).where("depth >= 0").select("id", F.col("root_id").alias("segment"), F.col("depth").alias("offset"))
+    placed = materialise(linked.join(runs, "id").join(followers, "id", "left").select(*linked.columns, "segment", "offset", F.coalesce("followers", F.lit(0)).alias("followers")))
+    heads = placed.where("offset = 0").select("id", "parent", "grp")
+    above = placed.where("followers > 1").select(F.col("id").alias("parent"), F.col("segment").alias("up"))
+    tree = heads.where("parent is not null").join(above, "parent", "left").select("id", F.coalesce("up", "parent").alias("parent"), "grp").unionByName(heads.where("parent is null"))
+    # a head whose parent lies on a ring ends there: such segments and all below them are left out
+    gone = heads.where("parent is not null").join(placed.select(F.col("id").alias("parent")), "parent", "left_anti").select(F.col("id").alias("first"))
+    paths = hierarchy(tree, trails=True).where("path is not null").select("id", "root_id", "path")
+    lengths = placed.groupBy("segment").agg(F.max("offset").alias("last"), F.max_by(F.struct("turn_id", "followers"), "offset").alias("end"))
+    leaves = paths.join(gone, paths["root_id"] == gone["first"], "left_anti").join(lengths, paths["id"] == lengths["segment"]).where("end.followers = 0")
+    steps = leaves.select(F.col("end.turn_id").alias("leaf"), F.posexplode("path").alias("level", "segment"), paths["id"].alias("tip")).join(lengths.select("segment", "last"), "segment")
+    begun = F.sum(F.col("last") + 1).over(Window.partitionBy("tip").orderBy("level").rowsBetween(Window.unboundedPreceding, -1))  # the forks of one path
+    steps = steps.select("leaf", "segment", F.coalesce(begun, F.lit(0)).alias("begun"))
+    return steps.join(placed, "segment").select("session_id", "conv", "leaf", (F.col("begun") + F.col("offset")).cast("bigint").alias("ordinal"), "turn_id", "speaker", "seq")
