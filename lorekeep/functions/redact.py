@@ -21,7 +21,7 @@ RULES = [
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PRIVATE = rf"(?:10\.|127\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|0\.0\.0\.0\b|255\.255\.255\.255\b)"
 #: A public IPv4 address: four octets, outside of the private, local, unspecified, broadcast and shared ranges.
-PUBLIC_IP = rf"\b(?!{_PRIVATE}){_OCTET}(?:\.{_OCTET}){{3}}(?![\d])"
+PUBLIC_IP = rf"\b(?!{_PRIVATE}){_OCTET}(?:\.{_OCTET}){{3}}\b"
 
 
 def redacted(c: Column, extra: list[str] | None = None) -> Column:
@@ -41,6 +41,24 @@ def redaction_counts(c: Column) -> Column:
     return F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*counts)), lambda _, n: n > 0)
 
 
-def redacted_json(c: Column) -> Column:
-    """JSON text with the string values redacted, keys kept: the rules see what stands between quotes after a colon, bracket or comma."""
-    return redacted(c)
+#: A string of JSON text, with the colon that makes it a key.
+_STRING = r'"((?:[^"\\\\]|\\\\.)*)"(\s*:)?'
+
+
+def redacted_json(c: Column, extra: list[str] | None = None) -> Column:
+    """JSON text with every string value redacted, at any depth; keys, numbers and layout stay. Null and unreadable JSON give null.
+
+    The text is cut into strings and what lies between them; strings that a colon follows are keys. A value is unescaped
+    before the rules see it and escaped again after.
+    """
+    strings = F.regexp_extract_all(c, F.lit(_STRING), 0)
+    between = F.split(c, _STRING, -1)
+
+    def value(raw: Column) -> Column:
+        held = F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")
+        shown = F.to_json(F.struct(redacted(held, extra).alias("v")))
+        return F.when(redacted(held, extra) == held, raw).otherwise(F.regexp_replace(F.regexp_replace(shown, r'^\{"v":', ""), r"\}$", ""))
+
+    out = F.transform(strings, lambda x: F.when(F.endswith(x, F.lit(":")), x).otherwise(value(x)))
+    pieces = F.transform(F.arrays_zip(between.alias("gap"), out.alias("text")), lambda z: F.concat(F.coalesce(z["gap"], F.lit("")), F.coalesce(z["text"], F.lit(""))))
+    return F.when(F.try_parse_json(c).isNotNull(), F.array_join(pieces, ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +60,24 @@ def entity_key(name: Column) -> Column:
 
 
 def name_tokens(name: Column) -> Column:
-    """Parts of a name in camel, Pascal, acronym, snake, kebab or path form, lower-cased."""
-    cut = F.regexp_replace(F.regexp_replace(name, r"([A-Z]+)([A-Z][a-z])", "$1 $2"), r"([a-z0-9])([A-Z])", "$1 $2")
-    return tokens(cut)
+    """Parts of a name in camel, Pascal, acronym, snake, kebab or path form, lower-cased, in order, with repeats."""
+    cut = F.regexp_replace(F.regexp_replace(name, r"(\p{Lu})(?=\p{Lu}\p{Ll})", "$1 "), r"([\p{Ll}\p{N}])(?=\p{Lu})", "$1 ")
+    return F.filter(F.split(F.lower(cut), r"[\s_\-/.]+"), lambda w: w != "")
 
 
-def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-|-$", "")
+def slug(c: Column, empty: str = "workspace", most: int = 48) -> Column:
+    """ASCII letters and digits, lower-cased, every other run a hyphen, none at the ends, at most 48 characters; `empty` if nothing is left."""
+    ascii_low = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    base = F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(ascii_low, r"[^a-z0-9]+", "-"), r"^-+", ""), 1, most), r"-+$", "")
+    return F.when(c.isNotNull(), F.when(base == "", F.lit(empty)).otherwise(base))
+
+
+def parsed_time(c: Column) -> Column:
+    """The UTC time a text names: RFC 3339, 'date time' or a date; null for all else."""
+    bare = F.trim(c)
+    zoned = F.when(bare.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"), F.to_utc_timestamp(F.try_to_timestamp(bare), F.current_timezone()).cast("timestamp_ntz"))
+    plain = F.when(bare.rlike(r"^\d{4}-\d\d-\d\d( \d\d:\d\d:\d\d)?$"), bare.try_cast("timestamp_ntz"))
+    return F.coalesce(zoned, plain)
 
 
 def estimated_tokens(c: Column) -> Column:
@@ -85,39 +97,42 @@ def escaped(c: Column) -> Column:
     return c
 
 
+#: The least similarity of each label.
+QUALITY = [(0.85, "Excellent"), (0.70, "Very Good"), (0.55, "Good"), (0.40, "Moderate"), (0.30, "Fair")]
+
+
 def quality(similarity: Column) -> Column:
-    """Labels of a similarity."""
-    return F.when(similarity >= 0.9, "excellent").when(similarity >= 0.75, "good").when(similarity >= 0.5, "fair").otherwise("poor")
-
-
-def _windows(text: str, size: int, shared: int) -> Iterator[str]:
-    if size <= 0 or len(text) <= size:
-        yield text
-        return
-    gaps = [m.start() for m in re.finditer(r"\s", text)]
-    begin = 0
-    from bisect import bisect_left
-
-    while True:
-        stop = min(begin + size, len(text))
-        if stop < len(text):
-            k = bisect_left(gaps, stop) - 1
-            if k >= 0 and gaps[k] >= begin + size // 2:
-                stop = gaps[k]
-        yield text[begin:stop].strip()
-        if stop >= len(text):
-            return
-        again = max(stop - shared, begin + 1)
-        k = bisect_left(gaps, again)
-        begin = gaps[k] + 1 if k < len(gaps) and gaps[k] < stop else stop
+    """The label of a similarity; Weak below all bounds, and for null."""
+    label = F.lit("Weak")
+    for least, name in reversed(QUALITY):
+        label = F.when(similarity >= least, name).otherwise(label)
+    return label
+
+
+_SPACE = re.compile(r"\s")
+
+
+def _windows(text: str, size: int, shared: int) -> list[str]:
+    """Pieces of at most `size` characters: as long as possible if they can end before a blank in their second half, else cut at `size`."""
+    if size <= 0:
+        return [text]
+    ending = re.compile(rf"(?s).{{{size // 2},{size - 1}}}(?=\s)")
+    out, at = [], 0
+    while len(text) - at > size:
+        piece = ending.match(text, at)
+        end = piece.end() if piece else at + size
+        out.append(text[at:end].strip())
+        blank = _SPACE.search(text, max(end - shared, at + 1), end)  # the next piece begins with a word of the shared part
+        at = blank.end() if blank else end
+    return [*out, text[at:].strip() if out else text]
 
 
 def chunks(df: DataFrame, ident: str, text: str, size: int = 1000, shared: int = 200) -> DataFrame:
-    """Windows of a text: id, n, chunk_id ('<id>' and '<id>#n'), chunk. Null gives none, an empty text one empty window."""
+    """Windows of a text: id, n, chunk_id ('<id>', then '<id>#2' and on), chunk. Null gives none, an empty text one empty window."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, n, str(i) if n == 0 else f"{i}#{n}", w) for i, t in zip(pdf["id"], pdf["text"]) if t is not None for n, w in enumerate(_windows(t, size, shared))]
+            rows = [(i, n, str(i) if n == 0 else f"{i}#{n + 1}", w) for i, t in zip(pdf["id"], pdf["text"]) if t is not None for n, w in enumerate(_windows(t, size, shared))]
             yield pd.DataFrame(rows, columns=["id", "n", "chunk_id", "chunk"])
 
     return df.select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {dict(df.dtypes)[ident]}, n int, chunk_id string, chunk string")
@@ -127,36 +142,39 @@ _W = re.compile(r"[^\W_]+")
 
 
 def best_passage(text: str, query: str, most: int) -> str | None:
-    """The part of at most `most` characters with the most distinct query words; None if the text is that short."""
+    """The part of at most `most` characters with the most distinct query words; None if the text is that short.
+
+    Only parts that begin with a query word compete; the first of the best is led into by up to an eighth. All parts are
+    scored at once: a query word's place counts for those parts that begin after the word's last place before it and
+    reach to its end, which is a range of beginnings, so the scores are sums over range ends.
+    """
     if len(text) <= most:
         return None
-    spans = [m.span() for m in _W.finditer(text)]
-    if not spans:
+    spans = np.array([m.span() for m in _W.finditer(text)], dtype=np.int64).reshape(-1, 2)
+    if not len(spans):
         return text[:most] + "…"
-    wanted = {w: i for i, w in enumerate(sorted({w.lower() for w in _W.findall(query)}))}
-    hit = [wanted.get(text[a:b].lower()) for a, b in spans]
-    inside: dict[int, int] = {}
-    best, most_words, stop = 0, 0, 0
-    for k, (a, _) in enumerate(spans):
-        while stop < len(spans) and spans[stop][1] - a <= most:
-            if hit[stop] is not None:
-                inside[hit[stop]] = inside.get(hit[stop], 0) + 1
-            stop += 1
-        if hit[k] is not None and len(inside) > most_words:
-            best, most_words = k, len(inside)
-        if stop > k and hit[k] is not None:
-            inside[hit[k]] -= 1
-            if not inside[hit[k]]:
-                del inside[hit[k]]
-    first = best
-    while most_words and first and spans[best][0] - spans[first - 1][0] <= most // 8:
-        first -= 1
-    start, last = spans[first][0], spans[first][1]
-    for a, b in spans[first:]:
-        if b - start > most:
-            break
-        last = b
-    return ("…" if start else "") + text[start:last] + ("…" if _W.search(text[last:]) else "")
+    asked = {w.lower() for w in _W.findall(query)}
+    places = [(k, w) for k, w in enumerate(text[x:y].lower() for x, y in spans) if w in asked]
+    first = 0
+    if places:
+        at = np.array([k for k, _ in places], dtype=np.int64)
+        begins, ends = spans[at, 0], spans[at, 1]
+        last: dict[str, int] = {}
+        after = np.zeros(len(at), dtype=np.int64)
+        for n, (_, w) in enumerate(places):
+            after[n] = last.get(w, -1) + 1
+            last[w] = n
+        opens = np.maximum(after, np.searchsorted(begins, ends - most, "left"))
+        counts = np.zeros(len(at) + 1, dtype=np.int64)
+        fits = opens <= np.arange(len(at))
+        np.add.at(counts, opens[fits], 1)
+        np.add.at(counts, np.nonzero(fits)[0] + 1, -1)
+        scores = np.cumsum(counts)[:-1]
+        if scores.max() > 0:
+            first = int(np.searchsorted(spans[:, 0], begins[int(scores.argmax())] - most // 8, "left"))
+    start = int(spans[first, 0])
+    end = int(spans[max(first, int(np.searchsorted(spans[:, 1], start + most, "right")) - 1), 1])
+    return ("…" if start else "") + text[start:end] + ("…" if end < spans[-1, 1] else "")
 
 
 def passages(df: DataFrame, text: str, query: str, most: int = 800) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.operators.graph import reach
+from lorekeep.operators.ordering import numbered
+from lorekeep.sources.scratch import materialise
 
 #: Fixed value: digits of ranks in their order.
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -34,25 +36,56 @@ def rank_between(low: str, high: str | None) -> str:
         at += 1
 
 
+#: Seconds after which a missing run is late; the least interval.
+LATE, LEAST = 900, 60
+
+
 def due(schedules: DataFrame, now: Column) -> DataFrame:
-    """Interval schedules (id, start, every_s, last_run): last_due, next_due, owed, health.
+    """Interval schedules (id, start, every_s, paused, last_run): due, next_due, owed, health.
 
-    Of missed ticks only the latest is owed. Intervals are a minute at least. Late after 900 s.
+    `due` is the latest tick after the start that has passed (missed ticks collapse to it), `next_due` the one to come,
+    `owed` the latest that passed more than 900 s ago; a paused schedule has none of them. `last_run` is the latest run
+    that succeeded or still runs. Health: paused; late if one is owed and no such run came since; else ok. Intervals are
+    a minute at least.
     """
     at = F.unix_timestamp(now.cast("timestamp"))
-    begin, every = F.unix_timestamp(F.col("start").cast("timestamp")), F.greatest(F.lit(60), F.col("every_s"))
-    ticks = F.floor((at - begin) / every)
-    last = F.when(at >= begin, begin + ticks * every)
+    begin, every = F.unix_timestamp(F.col("start").cast("timestamp")), F.greatest(F.lit(LEAST), F.col("every_s"))
+    runs = ~F.coalesce("paused", F.lit(False))
+
+    def latest(moment: Column) -> Column:
+        passed = F.floor((moment - begin) / every)
+        return F.when(runs & (passed > 0), begin + passed * every)
+
+    owed = latest(at - LATE)
+    coming = F.when(runs, begin + (F.greatest(F.lit(0), F.floor((at - begin) / every)) + 1) * every)
     ran = F.unix_timestamp(F.col("last_run").cast("timestamp"))
-    owed = last.isNotNull() & (ran.isNull() | (ran < last))
-    return schedules.select("id", F.timestamp_seconds(last).alias("last_due"), F.timestamp_seconds(F.when(at < begin, begin).otherwise(begin + (ticks + 1) * every)).alias("next_due"), owed.alias("owed"), F.when(owed & (at - last > 900), "late").when(owed, "due").otherwise("ok").alias("health"))
+    health = F.when(~runs, "paused").when(owed.isNotNull() & (ran.isNull() | (ran < owed)), "late").otherwise("ok")
+    return schedules.select("id", F.timestamp_seconds(latest(at)).alias("due"), F.timestamp_seconds(coming).alias("next_due"), F.timestamp_seconds(owed).alias("owed"), health.alias("health"))
+
+
+def progress(tasks: DataFrame) -> DataFrame:
+    """Of tasks (id, parent, stage) with children: id, done, total; canceled children do not count."""
+    counted = F.coalesce("stage", F.lit("")) != "canceled"
+    return tasks.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count_if(counted & (F.col("stage") == "done")).alias("done"), F.count_if(counted).alias("total"))
+
 
+def column_order(tasks: DataFrame, column: str, rank: str, ident: str) -> DataFrame:
+    """`place` from 1 in each column: by rank, those without one after, then by id."""
+    rows = materialise(numbered(tasks.withColumn("_last", F.coalesce(F.col(rank), F.lit("")) == ""), column, "_last", rank, ident))
+    first = rows.groupBy(F.col(column).alias("_column")).agg(F.min("at").alias("_first"))
+    return rows.join(first, rows[column].eqNullSafe(first["_column"])).withColumn("place", F.col("at") - F.col("_first") + 1).drop("at", "_last", "_column", "_first")
 
-def cron_ticks(field_minutes: list[int], field_hours: list[int], days: DataFrame) -> DataFrame:
-    """Ticks of a cron line's minutes and hours on days (column day, a date): at, in order of time."""
+
+def cron_ticks(field_minutes: list[int], field_hours: list[int], days: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Ticks (UTC) of a cron line's minutes and hours, in the zone's wall clock, on days (column day, a date): at, each once.
+
+    A wall time that the zone skips has no tick; of one that it has twice the earlier counts.
+    """
     hours, minutes = F.array(*[F.lit(h) for h in sorted(set(field_hours))]), F.array(*[F.lit(m) for m in sorted(set(field_minutes))])
     rows = days.select("day", F.explode(hours).alias("h")).select("day", "h", F.explode(minutes).alias("m"))
-    return rows.select(F.make_timestamp_ntz(F.year("day"), F.month("day"), F.day("day"), "h", "m", F.lit(0)).alias("at"))
+    wall = F.make_timestamp_ntz(F.year("day"), F.month("day"), F.day("day"), "h", "m", F.lit(0))
+    there = rows.select(wall.alias("wall")).withColumn("at", F.convert_timezone(F.lit(zone), F.lit("UTC"), "wall"))
+    return there.where(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("at")) == F.col("wall")).select("at").distinct()
 
 
 def freshness(entries: DataFrame, sources: DataFrame) -> DataFrame:
@@ -66,6 +99,17 @@ def freshness(entries: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def invalidated(changed: DataFrame, depends: DataFrame, depth: int = 10) -> DataFrame:
-    """What changes in `changed` (start) invalidate through `depends` (src, dst: src depends on dst): node, hops."""
-    found = reach(changed, depends.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), depth)
+    """What changes in `changed` (start) invalidate through `depends` (src, dst: src depends on dst): node, hops.
+
+    A start written as 'path#name' names one entry, one without '#' all entries of that name or that path.
+    """
+    entries = depends.select(F.col("src").alias("node")).union(depends.select("dst")).distinct()
+    parts = entries.select("node", F.array_distinct(F.array("node", F.element_at(F.split("node", "#"), -1), F.element_at(F.split("node", "#"), 1))).alias("keys"))
+    starts = parts.select("node", F.explode("keys").alias("start")).join(changed.select("start").distinct(), "start").select(F.col("node").alias("start"))
+    found = reach(starts.unionByName(changed.select("start")).distinct(), depends.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), depth)
     return found.groupBy("node").agg(F.min("hops").alias("hops"))
+
+
+def invalidation_counts(found: DataFrame) -> DataFrame:
+    """One row: direct (the changed entries), cascade (all others)."""
+    return found.agg(F.count_if(F.col("hops") == 0).alias("direct"), F.count_if(F.col("hops") > 0).alias("cascade"))

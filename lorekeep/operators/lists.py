@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.operators.ordering import numbered
 from lorekeep.plans.expressions import Typed, compile_expression, row_names
 
 
@@ -50,9 +51,13 @@ def transform_items(df: DataFrame, fields: dict[str, tuple[str, str | None]]) ->
 
 
 def sort_items(df: DataFrame, order: str, by: Column, descending: bool = False) -> DataFrame:
-    """Rows with `position` from 0 in the stable order by `by`; ties stay in the order of `order`, descending too."""
-    keys = [by.desc() if descending else by.asc(), F.col(order).asc()]
-    return df.withColumn("position", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("bigint"))
+    """Rows with `position` from 0 in the stable order by `by`; ties stay in the order of `order`, descending too.
+
+    Positions come from a range-partitioned sort and the sizes of its parts, so no task holds the table.
+    """
+    keyed = df.withColumn("_by", by)
+    placed = numbered(keyed, F.col("_by").desc() if descending else F.col("_by").asc(), F.col(order).asc())
+    return placed.withColumn("position", F.col("at") - 1).drop("at", "_by")
 
 
 def group_items(df: DataFrame, order: str, by: str, item: Column) -> DataFrame:
@@ -61,6 +66,10 @@ def group_items(df: DataFrame, order: str, by: str, item: Column) -> DataFrame:
     return rows.select("key", "first", F.transform("rows", lambda r: r["v"]).alias("items"))
 
 
+#: How a value's schema begins, by the type a rule names.
+TYPES = {"string": "STRING", "int": "BIGINT", "double": "D", "bool": "BOOLEAN", "list": "ARRAY", "map": "OBJECT"}
+
+
 @dataclass(frozen=True)
 class Rule:
     """A constraint on a field (path): a name, the condition that holds, a message."""
@@ -72,14 +81,23 @@ class Rule:
 
 
 def constraint(path: str, **limits: object) -> list[Rule]:
-    """Rules of a field: minimum, maximum, min_length, max_length (characters), pattern (of the whole text), one_of, required."""
+    """Rules of a field: minimum, maximum, min_length, max_length (characters), min_bytes,
+    max_bytes, min_items, max_items (of lists and maps), type (of TYPES), pattern (of the whole text; at most 1024 characters), one_of, required.
+    """
+    if len(str(limits.get("pattern", ""))) > 1024:
+        raise ValueError("a pattern of more than 1024 characters")
     c = F.col(path)
     made = {
         "minimum": lambda v: c >= F.lit(v),
         "maximum": lambda v: c <= F.lit(v),
         "min_length": lambda v: F.char_length(c) >= v,
         "max_length": lambda v: F.char_length(c) <= v,
-        "pattern": lambda v: c.rlike(f"^(?:{v})$"),
+        "min_bytes": lambda v: F.octet_length(c) >= v,
+        "max_bytes": lambda v: F.octet_length(c) <= v,
+        "min_items": lambda v: F.size(c) >= v,
+        "max_items": lambda v: F.size(c) <= v,
+        "type": lambda v: F.schema_of_variant(c.cast("variant")).startswith(TYPES[v]),
+        "pattern": lambda v: c.rlike(rf"\A(?:{v})\z"),
         "one_of": lambda v: c.isin(*v),
         "required": lambda v: c.isNotNull(),
     }
@@ -102,3 +120,16 @@ def failure_summary(violations: DataFrame, shown: int = 20) -> DataFrame:
     text = F.array_join(F.transform("v", lambda x: F.concat(F.lit("items["), x["index"].cast("string"), F.lit("]."), x["path"], F.lit(": "), x["message"])), "; ")
     more = violations.agg(F.count("*").alias("n"))
     return first.crossJoin(more).select(F.when(F.col("n") > shown, F.concat(text, F.lit("; and "), (F.col("n") - shown).cast("string"), F.lit(" more"))).otherwise(text).alias("summary"), F.col("n").alias("violations"))
+
+
+def partition_items(df: DataFrame, index: str, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
+    """The rows that break no rule, and the others with their `violations` (path, rule, message)."""
+    broken = [F.when(~(F.coalesce(r.holds, F.lit(True)) if r.name != "required" else r.holds), F.struct(F.lit(r.path).alias("path"), F.lit(r.name).alias("rule"), F.lit(r.message).alias("message"))) for r in rules]
+    marked = df.withColumn("violations", F.array_compact(F.array(*broken)))
+    return marked.where(F.size("violations") == 0).drop("violations"), marked.where(F.size("violations") > 0)
+
+
+def set_fields(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Rows with the named columns set to expressions over the row as it was; new ones are added, all others stay."""
+    names = row_names(df.dtypes)
+    return df.select(*[c for c in df.columns if c not in fields], *[compile_expression(e, names).column.alias(c) for c, e in fields.items()])

@@ -109,9 +109,9 @@ SQL["lineage"] = EDGES_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1) + ", " +
 
 
 def pagerank_importance(spark: SparkSession, folder: str) -> DataFrame:
-    """Importance of every entity after 20 steps, with its level."""
+    """Importance of every entity, mentioned or only stored."""
     r, e, edges = _parts(spark, folder)
-    found = G.importance(edges, G.mention_rollup(G.mentions_of(r, e), e))
+    found = G.importance(edges, G.counted_mentions(G.mention_rollup(G.mentions_of(r, e), e), e))
     return found.select("entity", F.round("importance", 5).alias("importance"))
 
 
@@ -125,14 +125,14 @@ def as_of_graph(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pagerank_sql(steps: int) -> str:
-    out = EDGES_SQL.replace("WITH raw", "WITH raw", 1) + f""", roll AS (SELECT entity, 1 + ln(1 + count(*)) t, max(ts) la FROM men GROUP BY entity), nd AS MATERIALIZED (SELECT entity id, t / (SELECT sum(t) FROM roll) sh, greatest(0, (epoch_us((SELECT max(la) FROM roll)) - epoch_us(la)) / 86400000000.0) dy FROM roll),
+    out = EDGES_SQL.replace("WITH raw", "WITH raw", 1) + f""", roll AS (SELECT entity, 1 + ln(1 + greatest(coalesce(k, 0), coalesce(mc, 0))) t, coalesce(la, lm) la FROM (SELECT entity, count(*) k, max(ts) la FROM men GROUP BY entity) FULL JOIN (SELECT name entity, max(mention_count) mc, max(last_mentioned) lm FROM entities WHERE name IS NOT NULL GROUP BY 1) USING (entity)), nd AS MATERIALIZED (SELECT entity id, t / (SELECT sum(t) FROM roll) sh, greatest(0, coalesce((epoch_us((SELECT max(la) FROM roll)) - epoch_us(la)) / 86400000000.0, 0)) dy FROM roll),
 un AS MATERIALIZED (SELECT least(src, dst) a, greatest(src, dst) b, sum({_W}) w FROM edge GROUP BY ALL), bo AS MATERIALIZED (SELECT a, b, w / sum(w) OVER (PARTITION BY a) p FROM (SELECT a, b, w FROM un UNION ALL SELECT b, a, w FROM un)), r0 AS (SELECT id, sh AS rk FROM nd)"""
     for k in range(steps):
         out += f", r{k + 1} AS MATERIALIZED (SELECT nd.id, (0.15 + 0.85 * (SELECT coalesce(sum(rk), 0) FROM r{k} WHERE id NOT IN (SELECT a FROM bo))) * sh + 0.85 * coalesce(g, 0) rk FROM nd LEFT JOIN (SELECT b, sum(rk * p) g FROM r{k} JOIN bo ON id = a GROUP BY b) x ON x.b = nd.id)"
     return out + f" SELECT nd.id AS entity, round(rk / (SELECT max(rk) FROM r{steps}) * (0.5 + 0.5 * pow(0.5, dy / 90)), 5) AS importance FROM r{steps} JOIN nd USING (id)"
 
 
-SQL["pagerank_importance"] = _pagerank_sql(20)
+SQL["pagerank_importance"] = _pagerank_sql(60)
 
 
 def entity_communities(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,12 +205,12 @@ SQL["provenance"] = EDGES_SQL + " SELECT entity, coalesce(array_to_string(list_s
 
 
 def dependency_cycles(spark: SparkSession, folder: str) -> DataFrame:
-    """Entities whose chain of depends_on leads into a cycle."""
+    """Entities on a cycle of depends_on, with the length of a shortest one."""
     edges = _parts(spark, folder)[2]
-    return G.cycles(edges.where("type = 'depends_on'").select("src", "dst"))
+    return G.cycles(edges.where("type = 'depends_on'").select("src", "dst")).select("node", "length")
 
 
-SQL["dependency_cycles"] = EDGES_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1) + ", dep AS (SELECT DISTINCT src, dst FROM edge WHERE type = 'depends_on'), cl AS (SELECT src, dst FROM dep UNION SELECT cl.src, dep.dst FROM cl JOIN dep ON cl.dst = dep.src), ring AS (SELECT DISTINCT src FROM cl WHERE src = dst) SELECT DISTINCT src AS node FROM cl WHERE dst IN (SELECT src FROM ring)"
+SQL["dependency_cycles"] = EDGES_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1) + ", dep AS (SELECT DISTINCT src, dst FROM edge WHERE type = 'depends_on'), cl AS (SELECT src, dst FROM dep UNION SELECT cl.src, dep.dst FROM cl JOIN dep ON cl.dst = dep.src), ring AS (SELECT src FROM cl WHERE src = dst), rd AS (SELECT * FROM dep WHERE src IN (FROM ring) AND dst IN (FROM ring)), w AS (SELECT src s, dst n, 1 h FROM rd UNION SELECT s, dst, h + 1 FROM w JOIN rd ON n = src WHERE n <> s AND h < 60) SELECT s AS node, CAST(min(h) AS INTEGER) AS length FROM w WHERE s = n GROUP BY s"
 
 
 def readiness(spark: SparkSession, folder: str) -> DataFrame:

@@ -126,13 +126,15 @@ def graph_ranked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def named_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Entities that items name, by the keys of their runs of words."""
-    q = table(spark, folder, "eval_items").where("text is not null").select("item_id", F.explode(text.name_keys(F.col("text"), 1)).alias("key"))
+    """entities that items name, by the keys of their runs of words, up to the longest name's."""
+    names = table(spark, folder, "entities").where("name is not null")
+    most = names.agg(F.max(text.name_words(F.col("name")))).first()[0] or 1  # one number
+    q = table(spark, folder, "eval_items").where("text is not null").select("item_id", F.explode(text.name_keys(F.col("text"), most)).alias("key"))
     e = table(spark, folder, "entities").where("name is not null").select(text.entity_key(F.col("name")).alias("key"), "name")
     return q.join(e, "key").select("item_id", "name").distinct()
 
 
-SQL["named_entities"] = rf"WITH w AS (SELECT DISTINCT item_id, regexp_replace(regexp_replace(x, '^[.''’]+|[.''’]+$', '', 'g'), '[''’]s$', '') x FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}+#./\-_''’]+')) x FROM eval_items WHERE text IS NOT NULL)), k AS (SELECT item_id, {KEY_SQL.format('x')} k FROM w WHERE x <> '') SELECT DISTINCT item_id, name FROM k JOIN (SELECT name, {KEY_SQL.format('name')} n FROM entities WHERE name IS NOT NULL) ON n = k"
+SQL["named_entities"] = rf"WITH w AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}+#./\-_''’]+'), lambda x: regexp_replace(regexp_replace(x, '^[.''’]+|[.''’]+$', '', 'g'), '[''’]s$', '')), lambda x: x <> '') x FROM eval_items WHERE text IS NOT NULL), r AS (SELECT item_id, array_to_string(x[i:i + n], ' ') x FROM (SELECT item_id, x, n, unnest(range(1, len(x) - n + 1)) i FROM (SELECT *, unnest(range(0, (SELECT max(len(list_filter(regexp_split_to_array(name, '[\s\-_]+'), lambda y: y <> ''))) FROM entities))) n FROM w))), k AS (SELECT DISTINCT item_id, {KEY_SQL.format('x')} k FROM r WHERE x <> '') SELECT DISTINCT item_id, name FROM k JOIN (SELECT name, {KEY_SQL.format('name')} n FROM entities WHERE name IS NOT NULL) ON n = k"
 
 
 def merged_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,7 +172,7 @@ SQL["formatted_times"] = "SELECT event_id, strftime(ts, '%Y/%m/%d %H:%M:%S') AS
 
 
 def quality_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """labels of importance, and names escaped."""
+    """Labels of importance, and descriptions escaped."""
     e = table(spark, folder, "entities").where("name is not null")
     return e.select("name", graph.level(F.col("importance").cast("double")).alias("level"), text.escaped(F.coalesce("description", F.lit(""))).alias("description"))
 

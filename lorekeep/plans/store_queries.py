@@ -123,12 +123,14 @@ SQL["archive_round_trip"] = "SELECT 'sessions' AS section, count(*) AS rows, cou
 
 
 def schedule_due(spark: SparkSession, folder: str) -> DataFrame:
-    """Sessions as schedules of one hour and their position, run last at their last update."""
-    s = table(spark, folder, "sessions").groupBy(F.col("session_id").alias("id")).agg(F.min("created_at").alias("start"), F.max("last_updated").alias("last_run"))
-    return O.due(s.withColumn("every_s", F.lit(3600)), F.expr(f"TIMESTAMP_NTZ '{NOW}'")).groupBy("owed", "health").agg(F.count("*").alias("schedules"))
+    """Sessions as schedules of seven hours, those without a name paused, run last at their last update."""
+    s = table(spark, folder, "sessions").groupBy(F.col("session_id").alias("id")).agg(F.min("created_at").alias("start"), F.max("last_updated").alias("last_run"), F.bool_and(F.col("name").isNull()).alias("paused"))
+    found = O.due(s.withColumn("every_s", F.lit(25_200)), F.expr(f"TIMESTAMP_NTZ '{NOW}'"))
+    return found.select("id", *[F.unix_timestamp(c).alias(c) for c in ("due", "next_due", "owed")], "health")
 
 
-SQL["schedule_due"] = f"WITH s AS (SELECT session_id, CAST(floor(epoch(min(created_at))) AS BIGINT) b, CAST(floor(epoch(max(last_updated))) AS BIGINT) r, CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) n FROM sessions GROUP BY 1), d AS (SELECT *, CASE WHEN n >= b THEN b + ((n - b) // 3600) * 3600 END l FROM s), o AS (SELECT *, l IS NOT NULL AND (r IS NULL OR r < l) owed FROM d) SELECT owed, CASE WHEN owed AND n - l > 900 THEN 'late' WHEN owed THEN 'due' ELSE 'ok' END AS health, count(*) AS schedules FROM o GROUP BY ALL"
+_DUE_SQL = "CASE WHEN NOT p AND ({0} - b) // 25200 > 0 THEN b + ({0} - b) // 25200 * 25200 END"
+SQL["schedule_due"] = f"WITH s AS (SELECT session_id id, CAST(floor(epoch(min(created_at))) AS BIGINT) b, CAST(floor(epoch(max(last_updated))) AS BIGINT) r, CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) n, bool_and(name IS NULL) p FROM sessions GROUP BY 1), o AS (SELECT *, {_DUE_SQL.format('n')} due, CASE WHEN NOT p THEN b + (greatest(0, (n - b) // 25200) + 1) * 25200 END next_due, {_DUE_SQL.format('(n - 900)')} owed FROM s) SELECT id, due, next_due, owed, CASE WHEN p THEN 'paused' WHEN owed IS NOT NULL AND (r IS NULL OR r < owed) THEN 'late' ELSE 'ok' END AS health FROM o"
 
 
 def stream_once(spark: SparkSession, folder: str) -> DataFrame:

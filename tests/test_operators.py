@@ -69,7 +69,11 @@ def test_walks(spark):
     steps = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a")], "src string, dst string")
     start = spark.createDataFrame([("a",)], "start string")
     assert {(r.goal, r.hops, tuple(r.path)) for r in graph.shortest_paths(start, steps, 5).collect()} == {("b", 1, ("a", "b")), ("c", 1, ("a", "c")), ("d", 2, ("a", "b", "d"))}
-    assert {r.node for r in graph.cycles(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("a", "e")], "src string, dst string")).collect()} == {"a", "b", "c"}
+    assert {r.node for r in graph.cycles(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("a", "e")], "src string, dst string")).collect()} == {"a", "b"}
+    steps = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("s", "s"), ("x", "a"), (None, "a")]
+    got = {r.node: (r.length, r.chain) for r in graph.cycles(spark.createDataFrame(steps, "src string, dst string")).collect()}
+    assert got == {"a": (2, ["a", "b", "a"]), "b": (2, ["b", "a", "b"]), "c": (3, ["c", "a", "b", "c"]), "d": (2, ["d", "e", "d"]), "e": (2, ["e", "d", "e"]), "s": (1, ["s", "s"])}
+    assert graph.cycles(spark.createDataFrame([], "src string, dst string")).count() == 0
 
 
 def test_nearest_equals_brute_force(spark):
@@ -221,3 +225,82 @@ def test_copies_stay_tied_after_fusion(spark):
     docs = spark.createDataFrame([("x", "copy"), ("y", "copy"), ("z", "other"), ("u", "copy")], "id string, text string")
     got = {r.id: r.score for r in retrieval.fuse_texts([a, b], docs).collect()}
     assert got["x"] == got["y"] == round((1 / 61 + 1 / 62) / (2 / 61), 6) and got["z"] == round((1 / 61 + 1 / 63) / (2 / 61), 6)
+
+
+def test_best_passage_against_brute_force():
+    import random
+    import re
+
+    rnd = random.Random(11)
+    for _ in range(300):
+        text_, query = (" ".join(rnd.choice(["aa", "bb", "ccc", "d-e", "x", "yy."]) for _ in range(n)) for n in (rnd.randrange(1, 60), 3))
+        most = rnd.randrange(4, 50)
+        shown = text.best_passage(text_, query, most)
+        if len(text_) <= most:
+            assert shown is None
+            continue
+        spans, asked = [m.span() for m in re.finditer(r"[^\W_]+", text_)], set(re.findall(r"[^\W_]+", query))
+        score = [len({text_[a:b] for a, b in spans[k:] if b - spans[k][0] <= most} & asked) if text_[slice(*spans[k])] in asked else 0 for k in range(len(spans))]
+        k = score.index(max(score))
+        if max(score):
+            k = next(j for j in range(len(spans)) if spans[k][0] - spans[j][0] <= most // 8)
+        ends = [b for _, b in spans[k:] if b - spans[k][0] <= most] or [spans[k][1]]
+        assert shown == ("…" if spans[k][0] else "") + text_[spans[k][0] : ends[-1]] + ("…" if ends[-1] < spans[-1][1] else "")
+
+
+def test_windows_cover_the_text():
+    import random
+
+    rnd = random.Random(2)
+    for _ in range(100):
+        t = "".join(rnd.choice("abc  \n") for _ in range(rnd.randrange(0, 200)))
+        size = rnd.randrange(5, 40)
+        got = text._windows(t, size, 0)
+        assert all(len(w) <= size for w in got) or got == [t]
+        assert "".join("".join(got).split()) == "".join(t.split())
+        again = text._windows(t, size, 3)
+        assert len(again) >= len(got) and all(w in t for w in again)
+    assert text._windows("x" * 25, 10, 3) == ["x" * 10, "x" * 10, "x" * 5]
+
+
+def test_labels_slugs_and_times(spark):
+    df = spark.createDataFrame([("  Ünïted Boards!  of--2026 ", 0.86, "2026-10-22"), ("***", 0.3, " 2026-10-22T02:00:00+02:00 "), ("a" * 47 + "--b", None, "yesterday"), (None, 0.1, "2026-10-22 00:00:00")], "n string, s double, t string")
+    got = df.select(text.slug(F.col("n")).alias("n"), text.quality(F.col("s")).alias("q"), text.parsed_time(F.col("t")).alias("t")).collect()
+    assert [r.n for r in got] == ["n-ted-boards-of-2026", "workspace", "a" * 47, None]
+    assert [r.q for r in got] == ["Excellent", "Fair", "Weak", "Weak"]
+    midnight = datetime(2026, 10, 22)
+    assert [r.t for r in got] == [midnight, midnight, None, midnight]
+
+
+def test_json_values_are_redacted_and_keys_kept(spark):
+    whole = '{"me@x.org": ["to you@x.org", {"n": 8.8, "t": "a \\"q\\" me@x.org"}], "plain": "b"}'
+    df = spark.createDataFrame([(whole,), ("{broken you@x.org",), (None,), ('"you@x.org"',)], "j string")
+    got = [r[0] for r in df.select(redact.redacted_json(F.col("j"))).collect()]
+    import json
+
+    assert json.loads(got[0]) == {"me@x.org": ["to [REDACTED:email]", {"n": 8.8, "t": 'a "q" [REDACTED:email]'}], "plain": "b"}
+    assert got[1:] == [None, None, '"[REDACTED:email]"']
+
+
+def test_schedules(spark):
+    h = lambda n: T0 + timedelta(seconds=n)
+    rows = [("new", h(-3000), 3600, None, None), ("late", h(-7300), 3600, False, h(-4000)), ("ok", h(-7300), 3600, False, h(-50)), ("just", h(-3700), 3600, None, None), ("off", h(-7300), 3600, True, None), ("fast", h(-120), 1, None, None), ("later", h(50), 3600, None, None)]
+    got = {r.id: r for r in boards.due(spark.createDataFrame(rows, "id string, start timestamp_ntz, every_s int, paused boolean, last_run timestamp_ntz"), F.lit(T0).cast("timestamp_ntz")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("due", "next_due", "owed")}).collect()}
+    assert {k: r.health for k, r in got.items()} == {"new": "ok", "late": "late", "ok": "ok", "just": "ok", "off": "paused", "fast": "ok", "later": "ok"}
+    assert got["new"].due is None and got["late"].due == h(-100) and got["late"].owed == h(-3700) and got["off"].next_due is None and got["later"].next_due == h(50 + 3600)
+
+
+def test_cron_in_a_zone(spark):
+    days = spark.sql("select explode(array(date '2026-03-29', date '2026-03-30')) as day")
+    got = sorted(r.at for r in boards.cron_ticks([30], [2, 5], days, "Europe/Berlin").collect())
+    assert got == [datetime(2026, 3, 29, 3, 30), datetime(2026, 3, 30, 0, 30), datetime(2026, 3, 30, 3, 30)]  # 02:30 does not exist on the 29th
+
+
+def test_positions_over_parts(spark):
+    from lorekeep.operators import ordering
+
+    df = spark.createDataFrame([("g" if i % 3 else "h", i % 7, i) for i in range(500)], "g string, k int, i int")
+    got = sorted(ordering.with_previous(df, ["g"], ["k", "i"], {"i": "before"}).collect(), key=lambda r: r["at"])
+    want = sorted(df.collect(), key=lambda r: (r.g, r.k, r.i))
+    assert [(r.g, r.k, r.i) for r in got] == [(r.g, r.k, r.i) for r in want]
+    assert [r.before for r in got] == [None if n == 0 or want[n - 1].g != r.g else want[n - 1].i for n, r in enumerate(want)]
