@@ -1,23 +1,25 @@
 """Fields of JSON records that are added, removed, renamed or retyped from file to file.
 
-A catalogue of footers holds, for each file, every field and the type of most of its values; lines are read once and
-aggregated where they are read. Files of a series are numbered in order, so `lag` is a join on (series, field,
-number - 1): a series that holds a third of all files is spread like any other. Fields that end and start in one
-object of the same file pair are compared on the records that both files hold; what agrees becomes a row of the alias
+A catalogue of footers holds, for each file, every field and the type of most of its values: lines are parsed once as
+variants, whose objects are exploded level by level in the JVM, and counts are combined before they are shuffled. Files
+of a series are numbered in order; `lag` over the files of a field gives its islands, whose beginnings and endings are
+the log of fields added and removed; where the type before differs the field is retyped. The lag runs over
+range-partitioned rows, so a series that holds a third of all files is spread like any other. Fields that end and begin
+in one object of the same file are compared on the records that both files hold; what agrees becomes a row of the alias
 table, from which casts into one table are made.
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators.ordering import numbered, with_previous
 from lorekeep.sources.scratch import materialise
 
 #: More than this share of the records with a value in either file must hold the same value under both names.
@@ -27,111 +29,95 @@ FILES_A_TASK = 2000
 SESSION_PREFIX = "session.incremental_updates."
 
 
-def _records(payload: str | None) -> tuple[str, list[dict]] | None:
-    """The path prefix and the records of a line; None if it is no readable object."""
-    try:
-        line = json.loads(payload)
-        line = json.loads(line) if isinstance(line, str) else line
-    except (TypeError, ValueError, RecursionError):
-        return None
-    if not isinstance(line, dict):
-        return None
-    session = line.get("session")
-    if isinstance(session, dict):
-        inner = session.get("incremental_updates")
-        return SESSION_PREFIX, [r for r in ([inner] if isinstance(inner, dict) else inner if isinstance(inner, list) else []) if isinstance(r, dict)]
-    return "", [line]
-
+def _get(v: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, path, kind)
 
-def _type(v: object) -> str:
-    return {str: "string", bool: "boolean", int: "number", float: "number", dict: "object", list: "array"}.get(type(v), "")
 
+def _kind(v: Column) -> Column:
+    """string, boolean, number, object or array; '' for null."""
+    s = F.schema_of_variant(v)
+    known = F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
+    return F.when(v.isNull() | F.is_variant_null(v) | (s == "VOID"), "").otherwise(known.otherwise("number"))
 
-def _fields(value: object, path: str, out: Counter) -> None:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            at = f"{path}.{k}" if path else k
-            out[at, _type(v)] += 1
-            if isinstance(v, (dict, list)):
-                _fields(v, at, out)
-    else:
-        for v in value:
-            if isinstance(v, (dict, list)):
-                _fields(v, path, out)
 
+_NONE = F.array  # an empty list, cast where it is used
 
-def _plain(v: object) -> object:
-    """Without what is null or empty, key order and {"value": x} wrappings."""
-    if isinstance(v, dict):
-        kept = {k: p for k, x in v.items() if (p := _plain(x)) not in (None, "", [], {})}
-        return kept["value"] if set(kept) == {"value"} else kept
-    if isinstance(v, list):
-        return [p for x in v if (p := _plain(x)) not in (None, "", [], {})]
-    return v
 
+def _line_records(feeds: DataFrame, *kept: str) -> DataFrame:
+    """The records of readable lines: kept columns, path (prefix of their fields), n (place in the line), v."""
+    read = F.try_parse_json(F.col("payload"))
+    rows = feeds.select(*kept, read.alias("line"))
+    rows = rows.withColumn("line", F.when(_kind(F.col("line")) == "string", F.try_parse_json(_get(F.col("line"), "$", "string"))).otherwise(F.col("line"))).where(_kind(F.col("line")) == "object")
+    session = _get(F.col("line"), "$.session")
+    inner = _get(F.col("line"), "$.session.incremental_updates")
+    held = F.when(_kind(session) != "object", F.array("line")).when(_kind(inner) == "object", F.array(inner)).otherwise(F.coalesce(_get(inner, "$", "array<variant>"), _NONE().cast("array<variant>")))
+    prefix = F.when(_kind(session) == "object", SESSION_PREFIX).otherwise("")
+    return rows.select(*kept, prefix.alias("path"), F.posexplode(held).alias("n", "v")).where(_kind(F.col("v")) == "object")
 
-def _at(value: object, keys: list[str]) -> list:
-    """All values at a dotted path, through lists."""
-    if isinstance(value, list):
-        return [x for v in value for x in _at(v, keys)]
-    if not keys:
-        return [value]
-    return _at(value[keys[0]], keys[1:]) if isinstance(value, dict) and keys[0] in value else []
 
+def _levels(records: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
+    """All fields of records (kept, path, v), and all scalars: kept, path, kind, v. Objects are opened level by level.
 
-def _value_hash(record: dict, path: str) -> int | None:
-    found = _plain(_at(record, path.split(".")))
-    if not found:
-        return None
-    return int.from_bytes(blake2b(json.dumps(found, sort_keys=True, ensure_ascii=False, default=str).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    A path is dotted keys; lists add nothing, their objects open like their field's. Scalars are those of fields and of
+    lists. The levels number the depth of the deepest record.
+    """
+    boxes = records.select(*kept, "path", "v", F.lit("object").alias("kind"))
+    fields, scalars = None, None
+    while True:
+        boxes = materialise(boxes)
+        if fields is not None and boxes.isEmpty():
+            return fields, scalars
+        opened = boxes.where("kind = 'object'").select(*kept, "path", F.explode(_get(F.col("v"), "$", "map<string,variant>")).alias("key", "v"))
+        # prefixes end with a dot already
+        own = opened.select(*kept, F.when((F.col("path") == "") | F.endswith("path", F.lit(".")), F.concat("path", "key")).otherwise(F.concat_ws(".", "path", "key")).alias("path"), _kind(F.col("v")).alias("kind"), "v")
+        listed = boxes.where("kind = 'array'").select(*kept, "path", F.explode(_get(F.col("v"), "$", "array<variant>")).alias("v")).select(*kept, "path", _kind(F.col("v")).alias("kind"), "v")
+        fields = own if fields is None else fields.unionByName(own)
+        both = own.unionByName(listed)
+        plain = both.where("kind in ('string', 'boolean', 'number')")
+        scalars = plain if scalars is None else scalars.unionByName(plain)
+        boxes = both.where("kind in ('object', 'array')").select(*kept, "path", "v", "kind")
 
 
 def catalogue(feeds: DataFrame) -> DataFrame:
-    """Of each file every field: file_name, path, kind ('' if all values are null), n. Counted per batch, then summed."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            seen: dict[str, Counter] = defaultdict(Counter)
-            for name, payload in zip(pdf["file_name"], pdf["payload"]):
-                if (read := _records(payload)) is not None:
-                    for record in read[1]:
-                        own: Counter = Counter()
-                        _fields(record, "", own)
-                        for (path, kind), n in own.items():
-                            seen[name][read[0] + path, kind] += n
-            yield pd.DataFrame([(f, p, k, n) for f, c in seen.items() for (p, k), n in c.items()], columns=["file_name", "path", "kind", "n"])
-
-    counted = feeds.select("file_name", "payload").mapInPandas(run, "file_name string, path string, kind string, n bigint")
-    kinds = counted.groupBy("file_name", "path", "kind").agg(F.sum("n").alias("n"))
+    """Of each file every field: file_name, path, kind ('' if all values are null), n."""
+    fields, _ = _levels(_line_records(feeds, "file_name").drop("n"), "file_name")
+    kinds = fields.groupBy("file_name", "path", "kind").agg(F.count("*").alias("n"))
     most = F.max_by(F.col("kind"), F.struct(F.col("kind") != "", F.col("n"), F.col("kind")))
     return kinds.groupBy("file_name", "path").agg(most.alias("kind"), F.sum("n").alias("n"))
 
 
 def numbered_files(feeds: DataFrame) -> DataFrame:
-    """Files in their order: series, file_name, at (consecutive over all files), first (whether first of its series).
+    """Files in their order: series, file_name, at (consecutive over all files), prev_file (null for the first of a series).
 
-    Numbers come from a range-partitioned sort and the partitions' sizes, so no series has to fit in one task. Equal
-    times are settled by the file's name.
+    Equal times are settled by the file's name.
     """
     files = feeds.where("file_name is not null").groupBy("file_name").agg(F.min("series").alias("series"), F.min("exported_at").alias("exported_at"))
-    keys = ["series", "exported_at", "file_name"]
-    parts = materialise(files.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
-    sizes = parts.groupBy("part").count()  # a row a partition
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    at = parts.join(before, "part").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*keys)))
-    prev = at.select((F.col("at") + 1).alias("at"), F.col("series").alias("prev_series"), F.col("file_name").alias("prev_file"))
-    out = at.join(prev, "at", "left").withColumn("prev_file", F.when(F.col("series").eqNullSafe(F.col("prev_series")), F.col("prev_file")))
-    return materialise(out.select("series", "file_name", "at", "prev_file"))
+    return materialise(with_previous(files, ["series"], ["exported_at", "file_name"], {"file_name": "prev_file"}).select("series", "file_name", "at", "prev_file"))
+
+
+def islands(fields: DataFrame, files: DataFrame, *group: str) -> DataFrame:
+    """The runs of files of a series in which a field (or a field of one type) stands: series, group, file (number), kind,
+    begins, ends, kind_before (of the file before, if it has the field).
+
+    A row a file and field. `lag` and `lead` run over the files of a field; a gap in the numbers ends an island.
+    """
+    rows = fields.select("file_name", "path", "kind").join(files.select("file_name", "series", F.col("at").alias("file")), "file_name").drop("file_name")
+    lagged = with_previous(rows, ["series", *group], ["file"], {"file": "file_before", "kind": "kind_before"})
+    ahead = lagged.select((F.col("at") - 1).alias("at"), F.col("file_before").alias("this"), F.col("file").alias("file_after"))
+    out = materialise(lagged.join(ahead, "at", "left"))
+    follows = F.coalesce(F.col("file_before") == F.col("file") - 1, F.lit(False))
+    followed = F.coalesce((F.col("this") == F.col("file")) & (F.col("file_after") == F.col("file") + 1), F.lit(False))
+    return out.select("series", *group, "file", *[c for c in ("kind",) if c not in group], (~follows).alias("begins"), (~followed).alias("ends"), F.when(follows, F.col("kind_before")).alias("kind_before"))
 
 
 def _steps(fields: DataFrame, files: DataFrame) -> DataFrame:
-    """Islands' edges: for each file but the first of a series the fields that start, end or change type in it."""
-    now = fields.join(files.where("prev_file is not null").select("file_name", "at"), "file_name").select("at", "path", F.col("kind").alias("new_kind"))
-    nxt = files.where("prev_file is not null").select(F.col("prev_file").alias("file_name"), "at")
-    was = fields.join(nxt, "file_name").select("at", "path", F.col("kind").alias("old_kind"))
-    both = now.join(was, ["at", "path"], "full")
-    change = F.when(F.col("old_kind").isNull(), "added").when(F.col("new_kind").isNull(), "removed").when((F.col("old_kind") != F.col("new_kind")) & (F.col("old_kind") != "") & (F.col("new_kind") != ""), "retyped")
-    return both.withColumn("change", change).where("change is not null").select("at", "path", "change")
+    """The log of islands: at (number of the file), path, change. What begins in a series' first file or ends in its last is no change."""
+    isles = materialise(islands(fields, files, "path"))
+    later = files.where("prev_file is not null").select("at")
+    began = isles.where("begins").select(F.col("file").alias("at"), "path", F.lit("added").alias("change"))
+    ended = isles.where("ends").select((F.col("file") + 1).alias("at"), "path", F.lit("removed").alias("change"))
+    typed = isles.where("kind_before <> kind and kind_before <> '' and kind <> ''").select(F.col("file").alias("at"), "path", F.lit("retyped").alias("change"))
+    return began.unionByName(ended).join(later, "at", "left_semi").unionByName(typed)
 
 
 def _parent(path: str) -> str:
@@ -141,37 +127,29 @@ def _parent(path: str) -> str:
 def _evidence(feeds: DataFrame, files: DataFrame, steps: DataFrame) -> DataFrame:
     """Pairs of an ended and a started field of one object, with the records that agree: at, old, new, same, filled.
 
-    Only lines of file pairs in which some object both loses and gains a field are read again, and only those fields
-    and the id are taken from them.
+    Only lines of file pairs in which some object both loses and gains a field are read again. The value of a field is
+    the set of its scalars with their places below it; nulls and empty texts, the order of keys and {"value": x}
+    wrappings don't count. Of a record's several values in a file the largest hash stands for it.
     """
     obj = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)
     gone = steps.where("change = 'removed'").select("at", obj.alias("obj"), F.col("path").alias("old"))
     come = steps.where("change = 'added'").select("at", obj.alias("obj"), F.col("path").alias("new"))
     pairs = materialise(gone.join(come, ["at", "obj"]).select("at", "old", "new"))
-    wanted = pairs.groupBy("at").agg(F.collect_set("old").alias("olds"), F.collect_set("new").alias("news"))
-    named = files.where("prev_file is not null").join(wanted, "at")
-    asked = named.select(F.col("prev_file").alias("file_name"), "at", F.lit(0).alias("side"), F.col("olds").alias("paths")).unionByName(named.select("file_name", "at", F.lit(1).alias("side"), F.col("news").alias("paths")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for at, side, paths, payload in zip(pdf["at"], pdf["side"], pdf["paths"], pdf["payload"]):
-                if (read := _records(payload)) is None:
-                    continue
-                prefix, records = read
-                inner = [(p, p[len(prefix) :]) for p in paths if p.startswith(prefix)]
-                for r in records:
-                    rid = r.get("id")
-                    rid = rid.get("value") if isinstance(rid, dict) else rid
-                    if rid not in (None, ""):
-                        for p, q in inner:
-                            if (h := _value_hash(r, q)) is not None:
-                                out.append((at, side, str(rid).strip().lower(), p, h))
-            yield pd.DataFrame(out, columns=["at", "side", "rid", "path", "hash"])
-
-    lines = feeds.select("file_name", "payload").join(asked, "file_name").select("at", "side", "paths", "payload")
-    values = lines.mapInPandas(run, "at bigint, side int, rid string, path string, hash bigint").groupBy("at", "side", "rid", "path").agg(F.max("hash").alias("hash"))
-    values = materialise(values)
+    wanted = pairs.select("at", F.lit(0).alias("side"), F.col("old").alias("top")).unionByName(pairs.select("at", F.lit(1).alias("side"), F.col("new").alias("top"))).distinct()
+    named = files.where("prev_file is not null").join(wanted.select("at").distinct(), "at")
+    asked = named.select(F.col("prev_file").alias("file_name"), "at", F.lit(0).alias("side")).unionByName(named.select("file_name", "at", F.lit(1).alias("side")))
+    lines = feeds.select("file_name", "payload").join(asked, "file_name").withColumn("line_hash", F.xxhash64("payload"))
+    ident = F.coalesce(_get(F.col("v"), "$.id.value", "string"), F.when(_kind(_get(F.col("v"), "$.id")).isin("string", "number"), _get(F.col("v"), "$.id", "string")))
+    records = _line_records(lines.select("at", "side", "line_hash", "payload"), "at", "side", "line_hash").withColumn("rid", F.lower(F.trim(ident))).where("rid <> ''")
+    kept = ("at", "side", "rid", "line_hash", "n")
+    _, scalars = _levels(records, *kept)
+    texts = scalars.select(*kept, "path", F.to_json("v").alias("text")).where("text <> '\"\"'")
+    steps_of = F.split("path", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps_of)), lambda i: F.array_join(F.slice(steps_of, F.lit(1), i), "."))
+    below = texts.select(*kept, "path", "text", F.explode(above).alias("top")).join(wanted, ["at", "side", "top"])
+    place = F.regexp_replace(F.expr("substring(path, length(top) + 1)"), r"\.value(?=\.|$)", "")
+    values = below.groupBy(*kept, "top").agg(F.xxhash64(F.to_json(F.array_sort(F.collect_list(F.struct(place.alias("p"), "text"))))).alias("hash"))
+    values = materialise(values.groupBy("at", "side", "rid", F.col("top").alias("path")).agg(F.max("hash").alias("hash")))
     olds = values.where("side = 0").select("at", "rid", F.col("path").alias("old"), F.col("hash").alias("old_hash"))
     news = values.where("side = 1").select("at", "rid", F.col("path").alias("new"), F.col("hash").alias("new_hash"))
     met = olds.join(news, ["at", "rid"]).join(pairs, ["at", "old", "new"], "left_semi")
@@ -229,13 +207,18 @@ def drift(feeds: DataFrame) -> DataFrame:
 def lifespans(feeds: DataFrame) -> DataFrame:
     """Islands of each field and type in a series: series, path, kind, first_file, last_file, files.
 
-    A field that goes and comes back has two islands.
+    A field that goes and comes back has two islands. Beginnings and endings, each numbered in the order of series, path,
+    type and file, belong together by their numbers.
     """
     files = numbered_files(feeds)
-    rows = catalogue(feeds).join(files, "file_name").select("series", "path", "kind", "at", "file_name")
-    w = Window.partitionBy("series", "path", "kind").orderBy("at")
-    isles = rows.withColumn("isle", F.col("at") - F.row_number().over(w))
-    return isles.groupBy("series", "path", "kind", "isle").agg(F.min_by("file_name", "at").alias("first_file"), F.max_by("file_name", "at").alias("last_file"), F.count("*").alias("files")).drop("isle")
+    isles = materialise(islands(catalogue(feeds), files, "path", "kind"))
+    keys = ["series", "path", "kind", "file"]
+    first = numbered(isles.where("begins").select(*keys), *keys)
+    last = numbered(isles.where("ends").select(*keys), *keys).select("at", F.col("file").alias("end"))
+    spans = first.join(last, "at").select("series", "path", "kind", F.col("file").alias("begin"), "end")
+    names = files.select("at", "file_name")
+    spans = spans.join(names.select(F.col("at").alias("begin"), F.col("file_name").alias("first_file")), "begin").join(names.select(F.col("at").alias("end"), F.col("file_name").alias("last_file")), "end")
+    return spans.select("series", "path", "kind", "first_file", "last_file", (F.col("end") - F.col("begin") + 1).alias("files"))
 
 
 #: The fields of a record, by their names in the record's own schema.
@@ -246,18 +229,19 @@ def alias_table(feeds: DataFrame, changes: DataFrame) -> DataFrame:
     """Of each file the names that stand for other fields: file_name, aliases (map of a path in the file to its first name).
 
     Renames are followed back in a series; a field that has a name of the record schema in any of its files gets that.
-    A series' renames (a few a file) are folded in the order of its files.
+    A series' renames are folded in the order of its files; only files with renames take
+    part, all others get the aliases in force.
     """
     files = numbered_files(feeds)
     schema_names = {*RECORD_SCHEMA, "content", "related_code"}
     renames = changes.where("change = 'renamed'").select("file_name", "old_path", "new_path")
-    per_file = files.join(renames, "file_name", "left").groupBy("series", "at", "file_name").agg(F.array_compact(F.collect_list(F.when(F.col("new_path").isNotNull(), F.struct("old_path", "new_path")))).alias("moves"))
+    per_file = files.join(renames, "file_name").groupBy("series", "at").agg(F.collect_list(F.struct("old_path", "new_path")).alias("moves"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         known: dict[str, str] = {}
         proper: dict[str, str] = {}
         steps = []
-        for name, moves in zip(*(pdf.sort_values("at")[c] for c in ("file_name", "moves"))):
+        for name, moves in zip(*(pdf.sort_values("at")[c] for c in ("at", "moves"))):
             gone = {m["old_path"]: m["new_path"] for m in moves}
             after = {k: v for k, v in known.items() if k not in gone}
             for k, v in known.items():  # what lies in a renamed object moves with it
@@ -271,13 +255,34 @@ def alias_table(feeds: DataFrame, changes: DataFrame) -> DataFrame:
                     if form.removeprefix(SESSION_PREFIX) in schema_names:
                         proper.setdefault(v, form)
             steps.append((name, dict(known)))
-        out = []
+        out = [(None, {v: p for v, p in proper.items() if v != p})]  # before the first rename
         for name, aliases in steps:
             firsts = {k: proper.get(v, v) for k, v in aliases.items()} | {v: p for v, p in proper.items() if v != p and v not in aliases}
             out.append((name, firsts))
-        return pd.DataFrame(out, columns=["file_name", "aliases"])
+        return pd.DataFrame({"series": [pdf["series"].iloc[0]] * len(out), "begin": pd.array([n for n, _ in out], dtype="Int64"), "aliases": [a for _, a in out]})
+
+    folded = materialise(per_file.groupBy("series").applyInPandas(run, "series string, begin bigint, aliases map<string,string>"))
+    reach = files.groupBy("series").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    begun = folded.join(reach, folded["series"].eqNullSafe(reach["series"])).select(reach["series"], F.coalesce("begin", "low").alias("begin"), F.col("begin").isNotNull().alias("renames"), "aliases", "high")
+    until = F.lead("begin").over(Window.partitionBy("series").orderBy("begin", "renames"))  # the renames of a series
+    spans = begun.select("begin", (F.coalesce(until, F.col("high") + 1) - 1).alias("end"), "aliases").where("end >= begin")
+    return spans.select(F.explode(F.sequence("begin", "end")).alias("at"), "aliases").join(files.select("at", "file_name"), "at").select("file_name", "aliases")
+
 
-    return per_file.groupBy("series").applyInPandas(run, "file_name string, aliases map<string,string>")
+def _records(payload: str | None) -> tuple[str, list[dict]] | None:
+    """The path prefix and the records of a line; None if it is no readable object."""
+    try:
+        line = json.loads(payload)
+        line = json.loads(line) if isinstance(line, str) else line
+    except (TypeError, ValueError, RecursionError):
+        return None
+    if not isinstance(line, dict):
+        return None
+    session = line.get("session")
+    if isinstance(session, dict):
+        inner = session.get("incremental_updates")
+        return SESSION_PREFIX, [r for r in ([inner] if isinstance(inner, dict) else inner if isinstance(inner, list) else []) if isinstance(r, dict)]
+    return "", [line]
 
 
 def unified(feeds: DataFrame, changes: DataFrame) -> DataFrame:

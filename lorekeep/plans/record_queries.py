@@ -46,6 +46,27 @@ SQL["p3_entities"] = _FLAT + " SELECT sid AS session_id, rid AS record_id, o AS
 SQL["p3_relationships"] = _FLAT + " SELECT sid AS session_id, rid AS record_id, o AS ordinal, item AS from_entity, nullif(z ->> '$.to_entity', '') AS to_entity, nullif(z ->> '$.relation_type', '') AS relation_type, nullif(z ->> '$.context', '') AS context FROM c WHERE item <> '' AND child = 'relationship'"
 SQL["p3_code"] = _FLAT + " SELECT sid AS session_id, rid AS record_id, o AS ordinal, item AS file_path, z ->> '$.start_line' AS start_line, z ->> '$.end_line' AS end_line, nullif(z ->> '$.commit_hash', '') AS commit_hash FROM c WHERE item <> '' AND child = 'code'"
 
+_TREE = f"""WITH w0 AS (SELECT series, file_name, CAST(payload AS JSON) j FROM record_feeds WHERE json_valid(payload)), w AS (SELECT series, file_name, {_UNWRAP.format('j')} j FROM w0),
+q AS (SELECT file_name, j, json_type(j, '$.session') = 'OBJECT' IS TRUE s, json_extract(j, '$.session.incremental_updates') u FROM w WHERE json_type(j) = 'OBJECT'),
+x AS (SELECT file_name, '' p, j x FROM q WHERE NOT s UNION ALL SELECT file_name, 'session.incremental_updates.', u FROM q WHERE s AND json_type(u) = 'OBJECT' UNION ALL SELECT file_name, 'session.incremental_updates.', json_extract(u, '$[' || i || ']') FROM (SELECT file_name, u, unnest(range(CAST(json_array_length(u) AS BIGINT))) i FROM q WHERE s AND json_type(u) = 'ARRAY')),
+r AS MATERIALIZED (SELECT row_number() OVER () k, * FROM x WHERE json_type(x) = 'OBJECT'),
+tr AS MATERIALIZED (SELECT k, file_name, p || regexp_replace(substr(t.fullkey, 3), '\\[\\d+\\]', '', 'g') path, NOT ends_with(t.fullkey, ']') own, CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN '' ELSE 'number' END kind, CAST(t.value AS VARCHAR) v FROM r, json_tree(r.x) t WHERE t.fullkey <> '$'),
+kn AS (SELECT file_name, path, kind, count(*) n FROM tr WHERE own GROUP BY ALL), fd AS MATERIALIZED (SELECT file_name, path, arg_max(kind, (kind <> '', n, kind)) kind FROM kn GROUP BY ALL),
+fi AS (SELECT file_name, min(series) series, min(exported_at) e FROM record_feeds WHERE file_name IS NOT NULL GROUP BY 1), fl AS MATERIALIZED (SELECT file_name, series, row_number() OVER (PARTITION BY series ORDER BY e, file_name) n FROM fi)"""
+SQL["p2_lifespans"] = _TREE + ", a AS (SELECT series, path, kind, n, file_name, n - row_number() OVER (PARTITION BY series, path, kind ORDER BY n) g FROM fd JOIN fl USING (file_name)) SELECT series, path, kind, arg_min(file_name, n) AS first_file, arg_max(file_name, n) AS last_file, count(*) AS files FROM a GROUP BY series, path, kind, g"
+SQL["p2_found"] = _TREE + r""", pv AS (SELECT a.file_name f, b.file_name g FROM fl a JOIN fl b ON a.series = b.series AND b.n = a.n - 1),
+now AS (SELECT f, path, kind FROM fd JOIN pv ON f = file_name), was AS (SELECT f, path, kind FROM fd JOIN pv ON g = file_name),
+st AS MATERIALIZED (SELECT f, path, CASE WHEN was.kind IS NULL THEN 'added' WHEN now.kind IS NULL THEN 'removed' ELSE 'retyped' END change FROM now FULL JOIN was USING (f, path) WHERE was.kind IS NULL OR now.kind IS NULL OR (was.kind <> now.kind AND was.kind <> '' AND now.kind <> '')),
+pr AS MATERIALIZED (SELECT a.f, a.path o, b.path w FROM st a JOIN st b ON a.f = b.f AND a.change = 'removed' AND b.change = 'added' AND regexp_replace(a.path, '[^.]*$', '') = regexp_replace(b.path, '[^.]*$', '')),
+id AS (SELECT k, file_name, lower(trim(coalesce(x ->> '$.id.value', CASE WHEN json_type(x, '$.id') NOT IN ('OBJECT','ARRAY') THEN x ->> '$.id' END))) rid FROM r),
+lv AS (SELECT k, path, v FROM tr WHERE kind IN ('string','boolean','number') AND v <> '""'),
+wt AS (SELECT f, g file_name, o top, 0 side FROM pr JOIN pv USING (f) UNION SELECT f, f, w, 1 FROM pr),
+vl AS (SELECT f, side, top, rid, max(h) h FROM (SELECT f, side, top, rid, lv.k, list_sort(list((regexp_replace(substr(path, length(top) + 1), '\.value(\.|$)', '', 'g'), v)))::VARCHAR h FROM wt JOIN id USING (file_name) JOIN lv ON lv.k = id.k AND (path = top OR starts_with(path, top || '.')) WHERE rid <> '' GROUP BY ALL) GROUP BY ALL),
+ev AS (SELECT pr.f, o, w, count(*) FILTER (WHERE a.h = b.h) same, count(*) n FROM pr JOIN vl a ON a.f = pr.f AND a.top = o AND a.side = 0 JOIN vl b ON b.f = pr.f AND b.top = w AND b.side = 1 AND a.rid = b.rid GROUP BY ALL),
+rn AS MATERIALIZED (SELECT f, o, w FROM ev WHERE 2 * same > n QUALIFY row_number() OVER (PARTITION BY f, o ORDER BY same DESC, same / n DESC, w) = 1 AND row_number() OVER (PARTITION BY f, w ORDER BY same DESC, same / n DESC, o) = 1),
+ch AS MATERIALIZED (SELECT f, change, CASE WHEN change = 'added' THEN '' ELSE path END o, CASE WHEN change = 'removed' THEN '' ELSE path END w FROM st WHERE NOT (change = 'removed' AND (f, path) IN (SELECT f, o FROM rn)) AND NOT (change = 'added' AND (f, path) IN (SELECT f, w FROM rn)) UNION ALL SELECT f, 'renamed', o, w FROM rn)
+SELECT f AS file_name, change, o AS old_path, w AS new_path FROM ch a WHERE NOT EXISTS (SELECT 1 FROM ch b WHERE b.f = a.f AND a.o <> '' AND b.o <> '' AND starts_with(a.o, b.o || '.')) AND NOT EXISTS (SELECT 1 FROM ch b WHERE b.f = a.f AND a.w <> '' AND b.w <> '' AND starts_with(a.w, b.w || '.'))"""
+
 
 def record_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """One row a record (the delivery ingested last): id, parent, grp. Equal times are settled by the parent."""
