@@ -1,7 +1,7 @@
 """Fields of JSON records that are added, removed, renamed or retyped from file to file.
 
 A catalogue of footers holds, for each file, every field and the type of most of its values: lines are parsed once as
-variants, whose objects are exploded level by level in the JVM, and counts are combined before they are shuffled. Files
+variants, all objects in them are opened in one expression in the JVM, and counts are combined before they are shuffled. Files
 of a series are numbered in order; `lag` over the files of a field gives its islands, whose beginnings and endings are
 the log of fields added and removed; where the type before differs the field is retyped. The lag runs over
 range-partitioned rows, so a series that holds a third of all files is spread like any other. Fields that end and begin
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,54 +33,91 @@ def _get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x evaluated once."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def _kind(v: Column) -> Column:
     """string, boolean, number, object or array; '' for null."""
-    s = F.schema_of_variant(v)
-    known = F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
-    return F.when(v.isNull() | F.is_variant_null(v) | (s == "VOID"), "").otherwise(known.otherwise("number"))
+
+    def named(s: Column) -> Column:
+        known = F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
+        return F.when(s.isNull() | (s == "VOID"), "").otherwise(known.otherwise("number"))
+
+    return _bound(F.schema_of_variant(v), named)
+
+
+def _box(path: Column, v: Column) -> Column:
+    return F.struct(path.alias("path"), _kind(v).alias("kind"), v.alias("v"))
 
 
-_NONE = F.array  # an empty list, cast where it is used
+def _read(payload: Column) -> Column:
+    """The records of a line: prefix (of their fields' paths) and a list of box (path, kind, v); null for no readable object."""
+
+    def of_session(line: Column, session: Column) -> Column:
+        inner = _get(session, "$.incremental_updates")
+        held = F.coalesce(_get(inner, "$", "array<variant>"), F.array(inner))
+        return F.when(_kind(session) == "object", F.transform(held, lambda v: _box(F.lit(SESSION_PREFIX), v))).otherwise(F.array(F.struct(F.lit("").alias("path"), F.lit("object").alias("kind"), line.alias("v"))))
+
+    def of_line(line: Column) -> Column:
+        return F.when(_kind(line) == "object", _bound(_get(line, "$.session"), lambda session: of_session(line, session)))
+
+    def of_text(read: Column) -> Column:
+        return F.when(_kind(read) == "string", F.try_parse_json(_get(read, "$", "string"))).otherwise(read)
+
+    return _bound(_bound(F.try_parse_json(payload), of_text), of_line)
 
 
 def _line_records(feeds: DataFrame, *kept: str) -> DataFrame:
-    """The records of readable lines: kept columns, path (prefix of their fields), n (place in the line), v."""
-    read = F.try_parse_json(F.col("payload"))
-    rows = feeds.select(*kept, read.alias("line"))
-    rows = rows.withColumn("line", F.when(_kind(F.col("line")) == "string", F.try_parse_json(_get(F.col("line"), "$", "string"))).otherwise(F.col("line"))).where(_kind(F.col("line")) == "object")
-    session = _get(F.col("line"), "$.session")
-    inner = _get(F.col("line"), "$.session.incremental_updates")
-    held = F.when(_kind(session) != "object", F.array("line")).when(_kind(inner) == "object", F.array(inner)).otherwise(F.coalesce(_get(inner, "$", "array<variant>"), _NONE().cast("array<variant>")))
-    prefix = F.when(_kind(session) == "object", SESSION_PREFIX).otherwise("")
-    return rows.select(*kept, prefix.alias("path"), F.posexplode(held).alias("n", "v")).where(_kind(F.col("v")) == "object")
-
-
-def _levels(records: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
-    """All fields of records (kept, path, v), and all scalars: kept, path, kind, v. Objects are opened level by level.
-
-    A path is dotted keys; lists add nothing, their objects open like their field's. Scalars are those of fields and of
-    lists. The levels number the depth of the deepest record.
-    """
-    boxes = records.select(*kept, "path", "v", F.lit("object").alias("kind"))
-    fields, scalars = None, None
+    """The records of readable lines: kept columns, n (place in the line), box."""
+    return feeds.select(*kept, F.posexplode(_read(F.col("payload"))).alias("n", "box")).where("box.kind = 'object'")
+
+
+def _opened(b: Column) -> Column:
+    """What lies in a box: path, kind, v, own (a field, not a list's element)."""
+
+    def inner(path: Column, v: Column, own: bool) -> Column:
+        return F.struct(path.alias("path"), _kind(v).alias("kind"), v.alias("v"), F.lit(own).alias("own"))
+
+    head = F.when((b["path"] == "") | b["path"].endswith("."), b["path"]).otherwise(F.concat(b["path"], F.lit(".")))
+    fields = F.transform(F.map_entries(_get(b["v"], "$", "map<string,variant>")), lambda e: inner(F.concat(head, e["key"]), e["value"], True))
+    listed = F.transform(_get(b["v"], "$", "array<variant>"), lambda v: inner(b["path"], v, False))
+    return F.when(b["kind"] == "object", fields).otherwise(listed)
+
+
+#: Levels that one pass opens; deeper objects take another pass over what is left.
+STRIDE = 5
+
+
+def _all_below(boxes: Column, levels: int, keep: Callable[[Column], Column], shape: Callable[[Column], Column]) -> Column:
+    """struct(out, rest): what `keep` keeps of all that lies below boxes, in `shape`, and the boxes still closed after the last level."""
+
+    def deeper(own: Column) -> Column:
+        out = F.transform(F.filter(own, keep), shape)
+        closed = F.transform(F.filter(own, lambda o: o["kind"].isin("object", "array")), lambda o: F.struct(o["path"].alias("path"), o["kind"].alias("kind"), o["v"].alias("v")))
+        if levels == 1:
+            return F.struct(out.alias("out"), closed.alias("rest"))
+        return _bound(_all_below(closed, levels - 1, keep, shape), lambda below: F.struct(F.concat(out, below["out"]).alias("out"), below["rest"].alias("rest")))
+
+    return _bound(F.flatten(F.transform(boxes, _opened)), deeper)
+
+
+def _below(records: DataFrame, kept: list[str], keep: Callable[[Column], Column], shape: Callable[[Column], Column]) -> DataFrame:
+    """kept columns and one row for all that `keep` keeps below the records' boxes, at any depth. A path is dotted keys; lists add nothing."""
+    boxes, found = records.select(*kept, F.array("box").alias("boxes")), None
     while True:
-        boxes = materialise(boxes)
-        if fields is not None and boxes.isEmpty():
-            return fields, scalars
-        opened = boxes.where("kind = 'object'").select(*kept, "path", F.explode(_get(F.col("v"), "$", "map<string,variant>")).alias("key", "v"))
-        # prefixes end with a dot already
-        own = opened.select(*kept, F.when((F.col("path") == "") | F.endswith("path", F.lit(".")), F.concat("path", "key")).otherwise(F.concat_ws(".", "path", "key")).alias("path"), _kind(F.col("v")).alias("kind"), "v")
-        listed = boxes.where("kind = 'array'").select(*kept, "path", F.explode(_get(F.col("v"), "$", "array<variant>")).alias("v")).select(*kept, "path", _kind(F.col("v")).alias("kind"), "v")
-        fields = own if fields is None else fields.unionByName(own)
-        both = own.unionByName(listed)
-        plain = both.where("kind in ('string', 'boolean', 'number')")
-        scalars = plain if scalars is None else scalars.unionByName(plain)
-        boxes = both.where("kind in ('object', 'array')").select(*kept, "path", "v", "kind")
+        got = materialise(boxes.select(*kept, _all_below(F.col("boxes"), STRIDE, keep, shape).alias("x")))
+        rows = got.select(*kept, F.inline("x.out"))
+        found = rows if found is None else found.unionByName(rows)
+        boxes = got.where(F.size("x.rest") > 0).select(*kept, F.col("x.rest").alias("boxes"))
+        if boxes.isEmpty():
+            return found
 
 
 def catalogue(feeds: DataFrame) -> DataFrame:
     """Of each file every field: file_name, path, kind ('' if all values are null), n."""
-    fields, _ = _levels(_line_records(feeds, "file_name").drop("n"), "file_name")
+    fields = _below(_line_records(feeds, "file_name"), ["file_name"], lambda o: o["own"], lambda o: F.struct(o["path"].alias("path"), o["kind"].alias("kind")))
     kinds = fields.groupBy("file_name", "path", "kind").agg(F.count("*").alias("n"))
     most = F.max_by(F.col("kind"), F.struct(F.col("kind") != "", F.col("n"), F.col("kind")))
     return kinds.groupBy("file_name", "path").agg(most.alias("kind"), F.sum("n").alias("n"))
@@ -139,11 +176,12 @@ def _evidence(feeds: DataFrame, files: DataFrame, steps: DataFrame) -> DataFrame
     named = files.where("prev_file is not null").join(wanted.select("at").distinct(), "at")
     asked = named.select(F.col("prev_file").alias("file_name"), "at", F.lit(0).alias("side")).unionByName(named.select("file_name", "at", F.lit(1).alias("side")))
     lines = feeds.select("file_name", "payload").join(asked, "file_name").withColumn("line_hash", F.xxhash64("payload"))
-    ident = F.coalesce(_get(F.col("v"), "$.id.value", "string"), F.when(_kind(_get(F.col("v"), "$.id")).isin("string", "number"), _get(F.col("v"), "$.id", "string")))
-    records = _line_records(lines.select("at", "side", "line_hash", "payload"), "at", "side", "line_hash").withColumn("rid", F.lower(F.trim(ident))).where("rid <> ''")
-    kept = ("at", "side", "rid", "line_hash", "n")
-    _, scalars = _levels(records, *kept)
-    texts = scalars.select(*kept, "path", F.to_json("v").alias("text")).where("text <> '\"\"'")
+    v = F.col("box.v")
+    ident = F.coalesce(_get(v, "$.id.value", "string"), _bound(_get(v, "$.id"), lambda i: F.when(_kind(i).isin("string", "number"), _get(i, "$", "string"))))
+    records = _line_records(lines.select("at", "side", "line_hash", "payload"), "at", "side", "line_hash").select("at", "side", "line_hash", "n", "box", F.lower(F.trim(ident)).alias("rid")).where("rid <> ''")
+    kept = ["at", "side", "rid", "line_hash", "n"]
+    scalars = _below(records, kept, lambda o: o["kind"].isin("string", "boolean", "number"), lambda o: F.struct(o["path"].alias("path"), F.to_json(o["v"]).alias("text")))
+    texts = scalars.where("text <> '\"\"'")
     steps_of = F.split("path", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(steps_of)), lambda i: F.array_join(F.slice(steps_of, F.lit(1), i), "."))
     below = texts.select(*kept, "path", "text", F.explode(above).alias("top")).join(wanted, ["at", "side", "top"])
