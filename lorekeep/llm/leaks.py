@@ -2,32 +2,33 @@
 
 Words are canonicalised by their lower-cased form alone: anything with a digit, units of measure, and words that stand
 in no item as plain words (names) become typed placeholders; all others stay. Windows of canonical words (templates)
-are hashed on both sides and joined; on a hit the words themselves are laid side by side, run by run, and the fillings
-of the slots are checked: all alike is a verbatim leak, one consistent exchange of fillings is a re-parameterised one.
-As a window's template depends on its words only, every verbatim run is among the hits.
+are hashed on both sides and hash-joined; of each pair that meets, the words themselves are laid side by side, run by
+run, and the fillings of the slots are checked: all alike is a verbatim leak, one consistent exchange of fillings is a
+re-parameterised one. As a window's template depends on its words only, every verbatim run is among the hits.
 
-The items are the stated query set: their windows go to the executors in blocks of a bounded number, and each block
-passes over all documents where they lie; documents are never shuffled.
+Nothing of items or documents reaches the driver but two bitmaps of fixed size: which words are plain, and which window
+hashes occur in items. By the second a document's windows are cut where it lies, before the join; where items are so
+many that it fills up, more windows are joined, and the result is the same.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.sources.scratch import materialise
+
 WINDOW = 12
 #: A template window says something if this many of its words are plain; others are joined by their words alone.
 PLAIN = 5
-#: Windows of held-out items in one block that is sent to the executors (some 60 MB).
-BLOCK = 400_000
+#: Bits of the bitmaps of plain words (two words in one bit are plain or not together, on both sides) and of window hashes.
+WORD_BITS, WINDOW_BITS = 20, 24
 #: Units of measure.
 UNITS = frozenset(
     "second seconds minute minutes hour hours day days week weeks month months year years ms kb mb gb tb byte bytes percent meter meters metre metres km kg gram grams mile miles dollar dollars euro euros "
@@ -51,7 +52,7 @@ def _hash(word: str) -> int:
 class _Codes:
     """Template and literal code of a word; the cache is emptied when it is full."""
 
-    def __init__(self, plain: frozenset[str]) -> None:
+    def __init__(self, plain: np.ndarray) -> None:
         self.plain, self.known = plain, {}
 
     def __call__(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +67,30 @@ class _Codes:
         return both[:, 0], both[:, 1]
 
     def kind(self, w: str) -> int:
-        return _UNIT if w in UNITS else _NUMBER if any(c.isdigit() for c in w) else 0 if w in self.plain else _NAME
+        return _UNIT if w in UNITS else _NUMBER if any(c.isdigit() for c in w) else 0 if _has(self.plain, np.array([_hash(w)], dtype=np.uint64), WORD_BITS)[0] else _NAME
+
+    def windows(self, ws: list[str]) -> np.ndarray:
+        """Hashes of the windows of a text: of their templates, or of their words where fewer than PLAIN are plain."""
+        template, exact = self(ws)
+        plainly = np.concatenate([[0], np.cumsum(template == exact)])
+        plainly = plainly[WINDOW:] - plainly[:-WINDOW] if len(ws) >= WINDOW else np.zeros(0, dtype=np.int64)
+        return np.where(plainly >= PLAIN, _rolled(template), _rolled(exact) ^ np.uint64(1))
+
+
+def _has(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    at = hashes & np.uint64((1 << bits) - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the lowest bits of `hash`, built on the executors in pieces of 32,768 bits; its size is fixed by `bits`."""
+    at = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # positions of a piece count from 1
+    pieces = hashes.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in pieces.toLocalIterator():  # at most 2 ** (bits - 15) rows
+        part = np.frombuffer(r.bits, dtype=np.uint8)
+        out[(r.piece - 1) * 4096 : (r.piece - 1) * 4096 + len(part)] = part
+    return out
 
 
 def _rolled(codes: np.ndarray) -> np.ndarray:
@@ -82,51 +106,12 @@ def _rolled(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def plain_words(texts: list[str]) -> frozenset[str]:
-    """Words that stand somewhere in the items as plain words: letters only, not capitalised, no part of an identifier or path."""
-    found: set[str] = set()
-    for t in texts:
-        for m in re.finditer(r"(?<![\w/.\-])[^\W\d_]+(?![\w/\-]|\.\w)", t):
-            if m[0] == m[0].lower():
-                found.add(m[0])
-    return frozenset(found - UNITS)
+_PLAIN = re.compile(r"(?<![\w/.\-])[^\W\d_]+(?![\w/\-]|\.\w)")
 
 
-class _Block:
-    """The windows of some items, sorted by hash."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], plain: frozenset[str]) -> None:
-        self.items, self.plain = items, plain
-        codes = _Codes(plain)
-        hashes, at, literal = [], [], []
-        for i, (_, ws) in enumerate(items):
-            if len(ws) < WINDOW:
-                continue
-            template, exact = codes(ws)
-            plainly = np.convolve((template == exact).astype(int), np.ones(WINDOW, dtype=int), "valid")
-            n = len(plainly)
-            hashes.append(np.where(plainly >= PLAIN, _rolled(template), _rolled(exact)))
-            literal.append(plainly < PLAIN)
-            at.append(np.stack([np.full(n, i), np.arange(n)], axis=1))
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
-        literals = np.concatenate(literal) if literal else np.zeros(0, dtype=bool)
-        self.at = np.concatenate(at) if at else np.zeros((0, 2), dtype=np.int64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.at, self.literals = self.hashes[order], self.at[order], literals[order]
-        self.any_literal = bool(literals.any())
-
-    def hits(self, hashes: np.ndarray, literal: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in `hashes` and in the block of all equal windows."""
-        mine = np.nonzero(self.literals == literal)[0]
-        keys = self.hashes[mine]
-        low = np.searchsorted(keys, hashes, "left")
-        near = np.minimum(low, len(keys) - 1)
-        rows = np.nonzero(keys[near] == hashes)[0] if len(keys) else np.zeros(0, dtype=np.int64)
-        high = np.searchsorted(keys, hashes[rows], "right")
-        counts = high - low[rows]
-        spread = np.repeat(rows, counts)
-        first = np.repeat(low[rows] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-        return spread, mine[(first + np.arange(len(spread))).astype(np.int64)]
+def plain_words(text: str) -> set[str]:
+    """Words that stand in a text as plain words: letters only, not capitalised, no part of an identifier or path."""
+    return {w for w in _PLAIN.findall(text) if w == w.lower()} - UNITS
 
 
 def _compare(doc: list[str], item: list[str], shift: int, starts: list[int], kind) -> tuple[int, int, int]:  # noqa: ANN001
@@ -172,79 +157,84 @@ def _compare(doc: list[str], item: list[str], shift: int, starts: list[int], kin
     return exact, consistent, slots
 
 
-def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Documents and the held-out items whose passages they hold: doc_id, item_id, verbatim, consistent, slots.
 
     `documents`: doc_id, text. `items`: item_id, split, text; only split test or dev (any case) is held out.
     `verbatim` is the longest run of equal words (case aside), `consistent` the longest run that equals the item's up
     to one consistent exchange of its numbers, names and units, of which there are `slots`. A pair comes out if either
-    reaches 12 words. Null, empty and short texts match nothing. One row a pair and row of `documents`.
+    reaches 12 words; a consistent run counts if one of its windows has five plain words. Null, empty and short texts
+    match nothing, null ids have no row. One row a pair of row of `documents` and distinct text of an item.
     """
-    held = [(r.item_id, r.text) for r in items.where(F.lower(F.trim("split")).isin("test", "dev") & F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct().toLocalIterator()]
-    plain = plain_words([t for _, t in held])
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    size = 0
-    for i, t in held:
-        ws = words(t)
-        if size + len(ws) > block and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((i, ws))
-        size += len(ws)
-    out = None
-    for b in blocks:
-        part = _pass(documents, _Block(b, plain))
-        out = part if out is None else out.unionByName(part)
-    return out
+    spark = documents.sparkSession
+    held = items.where(F.lower(F.trim("split")).isin("test", "dev") & F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    held = materialise(held.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("item")).distinct().select("*", F.xxhash64("item_id", "item").alias("key")))
 
+    def plain_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {w for t in batch.column(0) for w in plain_words(t.as_py())}
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_hash(w) for w in found], dtype=np.uint64).view(np.int64))], names=["hash"])
 
-def _pass(documents: DataFrame, held: _Block) -> DataFrame:
-    sent = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(held))
+    plain = spark.sparkContext.broadcast(_bitmap(held.select("item").mapInArrow(plain_hashes, "hash bigint"), WORD_BITS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pickle.loads(sent.value)
-        codes = _Codes(block.plain)
+    def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes(plain.value)
         for batch in batches:
-            rows = []
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            start = 0
-            while start < len(ids):  # texts are taken together up to a size, so short ones cost no call each
+            found = [np.unique(codes.windows(words(t.as_py()))) for t in batch.column(1)]
+            keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array(np.concatenate(found).view(np.int64) if found else [], type=pa.int64())], names=["key", "hash"])
+
+    windows = materialise(held.select("key", "item").mapInArrow(item_windows, "key bigint, hash bigint"))
+    occurs = spark.sparkContext.broadcast(_bitmap(windows, WINDOW_BITS))
+
+    def document_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes(plain.value)
+        for batch in batches:
+            ids, texts, start = batch.column(0), batch.column(1), 0
+            while start < batch.num_rows:  # texts are taken together up to a size, so short ones cost no call each
                 flat: list[str] = []
-                ends, docs = [], []
-                while start < len(ids) and len(flat) < 1_000_000:
-                    if t := texts[start].as_py():
-                        ws = words(t)
-                        if len(ws) >= WINDOW:
-                            docs.append(ids[start])
-                            flat += ws
-                            ends.append(len(flat))
+                rows, ends = [], []
+                while start < batch.num_rows and len(flat) < 1_000_000:
+                    if ids[start].is_valid and (t := texts[start].as_py()) and len(ws := words(t)) >= WINDOW:
+                        rows.append(start)
+                        flat += ws
+                        ends.append(len(flat))
                     start += 1
-                rows += _search(block, codes, flat, np.array(ends, dtype=np.int64), docs)
+                hashes, at = codes.windows(flat), np.array(ends, dtype=np.int64)
+                hit = np.nonzero(_has(occurs.value, hashes, WINDOW_BITS))[0]
+                doc = np.searchsorted(at, hit, "right")
+                whole = hit + WINDOW <= at[np.minimum(doc, len(at) - 1)] if len(at) else np.zeros(0, dtype=bool)
+                pairs = np.unique(np.stack([np.array(rows, dtype=np.int64)[doc[whole]], hashes[hit[whole]].view(np.int64)], axis=1), axis=0) if len(at) else np.zeros((0, 2), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1])], names=["doc_id", "hash"])
+
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    met = texts.mapInArrow(document_windows, "doc_id bigint, hash bigint").join(windows, "hash").select("doc_id", "key").distinct()
+    met = materialise(met)
+    both = texts.where("text is not null").join(met, "doc_id").join(held, "key").select("doc_id", "text", "item_id", "item")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes(plain.value)
+        for batch in batches:
+            rows = []
+            for d, t, i, it in zip(*(batch.column(k) for k in range(4))):
+                if best := _best(codes, words(t.as_py()), words(it.as_py())):
+                    rows.append((d.as_py(), i.as_py(), *best))
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["doc_id", "item_id", "verbatim", "consistent", "slots"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, item_id bigint, verbatim bigint, consistent bigint, slots bigint")
-
-
-def _search(block: _Block, codes: _Codes, flat: list[str], ends: np.ndarray, docs: list[int]) -> list[tuple[int, int, int, int, int]]:
-    if len(flat) < WINDOW or not len(block.hashes):
-        return []
-    template, exact = codes(flat)
-    rows, at = block.hits(_rolled(template), False)
-    if block.any_literal:
-        more = block.hits(_rolled(exact), True)
-        rows, at = np.concatenate([rows, more[0]]), np.concatenate([at, more[1]])
-    doc = np.searchsorted(ends, rows, "right")
-    whole = rows + WINDOW <= ends[np.minimum(doc, len(ends) - 1)]
-    found: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-    for r, d, (i, p) in zip(rows[whole], doc[whole], block.at[at[whole]]):
-        found[int(d), int(i)][int(r - p)].append(int(r))
-    out = []
-    for (d, i), diagonals in found.items():
-        item_id, ws = block.items[i]
-        best = [_compare(flat, ws, shift, sorted(starts), codes.kind) for shift, starts in diagonals.items()]
-        verbatim = max(b[0] for b in best)
-        consistent, slots = max(((b[1], -b[2]) for b in best), default=(0, 0))
-        if verbatim >= WINDOW or consistent >= WINDOW:
-            out.append((docs[d], item_id, verbatim, consistent, -slots))
-    return out
+    return both.mapInArrow(compared, "doc_id bigint, item_id bigint, verbatim bigint, consistent bigint, slots bigint")
+
+
+def _best(codes: _Codes, doc: list[str], item: list[str]) -> tuple[int, int, int] | None:
+    """The longest verbatim and consistent runs of two texts along all diagonals on which windows are equal; None if both are short."""
+    mine, theirs = codes.windows(doc), codes.windows(item)
+    order = np.argsort(theirs, kind="stable")
+    low, high = np.searchsorted(theirs[order], mine, "left"), np.searchsorted(theirs[order], mine, "right")
+    diagonals: dict[int, list[int]] = defaultdict(list)
+    for p in np.nonzero(high > low)[0]:
+        for q in order[low[p] : high[p]]:
+            diagonals[int(p - q)].append(int(p))
+    found = [_compare(doc, item, shift, starts, codes.kind) for shift, starts in diagonals.items()]
+    verbatim = max((f[0] for f in found), default=0)
+    consistent, slots = max(((f[1], -f[2]) for f in found), default=(0, 0))
+    return (verbatim, consistent, -slots) if max(verbatim, consistent) >= WINDOW else None

@@ -37,10 +37,10 @@ def test_slots_must_agree(spark):
     assert got.get((2, 10), (0, 0, 0))[1] < len(item.split())
 
 
-def test_blocks_long_texts_and_repeats(spark):
+def test_long_texts_and_repeats(spark):
     many = [(i, "test", f"{ITEM} number{i} " + " ".join(f"w{i}x{k}" for k in range(20))) for i in range(30)]
     docs = [(1, "filler text " * 40_000 + many[17][2]), (1, many[17][2])]
-    d = run(spark, docs, many, block=60)
+    d = run(spark, docs, many)
     assert d[1, 17][0] == len(many[17][2].split())
     assert run(spark, [], many) == {} and run(spark, docs, []) == {}
 
@@ -70,3 +70,29 @@ def test_longest_run_by_brute_force():
                 if len({d for d, _ in pairs}) == len({t for _, t in pairs}) == len(pairs) and all(d == t or kind(d) and kind(t) for d, t in pairs):
                     best = max(best, (j - i, -sum(d != t for d, t in pairs)))
         assert L._compare(doc, item, 0, list(range(19)), kind)[1:] == (best[0], -best[1])
+
+
+def test_re_parameterised_leaks_against_brute_force(spark):
+    rng = random.Random(9)
+    plain = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    items, docs, planted = [], [], set()
+    for i in range(12):
+        item = [f"Nam{rng.choice('abc')}" if rng.random() < 0.15 else str(rng.randrange(9)) if rng.random() < 0.1 else rng.choice(plain) for _ in range(26)]
+        items.append((i, "test", " ".join(item)))
+        for _ in range(2):
+            names, numbers = {c: f"Zim{c}{rng.randrange(9)}x" for c in "abc"}, rng.sample(range(10, 99), 9)
+            other = [f"Zim{w[3]}olo" if w.startswith("Nam") else str(numbers[int(w)]) if w.isdigit() else w for w in item]
+            docs.append((len(docs), " ".join([*rng.choices(plain, k=8), *other[2:24], *rng.choices(plain, k=8)])))
+            planted.add((len(docs) - 1, i))
+    got = run(spark, docs, items)
+    bits = L._bitmap(spark.createDataFrame([(L._hash(w) - (1 << 64) if L._hash(w) >= 1 << 63 else L._hash(w),) for _, _, t in items for w in L.plain_words(t)], "hash bigint"), L.WORD_BITS)
+    kind = L._Codes(bits).kind
+    true = set()
+    for d, text in docs:
+        for i, _, item in items:
+            a, b = L.words(text), L.words(item)
+            runs = [L._compare(a, b, s, list(range(max(0, s), min(len(a), len(b) + s) - L.WINDOW + 1)), kind) for s in range(-len(b) + L.WINDOW, len(a) - L.WINDOW + 1)]
+            if max(max(r[0], r[1]) for r in runs) >= L.WINDOW:
+                true.add((d, i))
+    assert planted <= true and set(got) <= true
+    assert len(set(got) & true) >= 0.95 * len(true)
