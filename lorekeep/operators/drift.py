@@ -41,11 +41,11 @@ def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
 def _kind(v: Column) -> Column:
     """string, boolean, number, object or array; '' for null."""
 
-    def named(s: Column) -> Column:
-        known = F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
-        return F.when(s.isNull() | (s == "VOID"), "").otherwise(known.otherwise("number"))
+    def plain(s: Column) -> Column:
+        return F.when(s.isNull() | (s == "VOID"), "").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").otherwise("number")
 
-    return _bound(F.schema_of_variant(v), named)
+    # objects and lists are told by their tops alone; the schema of a deep value costs its whole size
+    return F.when(_get(v, "$", "map<string,variant>").isNotNull(), "object").when(_get(v, "$", "array<variant>").isNotNull(), "array").otherwise(_bound(F.schema_of_variant(v), plain))
 
 
 def _box(path: Column, v: Column) -> Column:
@@ -90,24 +90,24 @@ def _opened(b: Column) -> Column:
 STRIDE = 5
 
 
-def _all_below(boxes: Column, levels: int, keep: Callable[[Column], Column], shape: Callable[[Column], Column]) -> Column:
-    """struct(out, rest): what `keep` keeps of all that lies below boxes, in `shape`, and the boxes still closed after the last level."""
+def _all_below(boxes: Column, levels: int, keep: Callable[[Column], Column], shape: Callable[[Column], Column], toward: Callable[[Column], Column]) -> Column:
+    """struct(out, rest): what `keep` keeps of all that lies below boxes, in `shape`, and the boxes still closed after the last level. Only boxes `toward` what is sought are opened."""
 
     def deeper(own: Column) -> Column:
         out = F.transform(F.filter(own, keep), shape)
-        closed = F.transform(F.filter(own, lambda o: o["kind"].isin("object", "array")), lambda o: F.struct(o["path"].alias("path"), o["kind"].alias("kind"), o["v"].alias("v")))
+        closed = F.transform(F.filter(own, lambda o: o["kind"].isin("object", "array") & toward(o)), lambda o: F.struct(o["path"].alias("path"), o["kind"].alias("kind"), o["v"].alias("v")))
         if levels == 1:
             return F.struct(out.alias("out"), closed.alias("rest"))
-        return _bound(_all_below(closed, levels - 1, keep, shape), lambda below: F.struct(F.concat(out, below["out"]).alias("out"), below["rest"].alias("rest")))
+        return _bound(_all_below(closed, levels - 1, keep, shape, toward), lambda below: F.struct(F.concat(out, below["out"]).alias("out"), below["rest"].alias("rest")))
 
     return _bound(F.flatten(F.transform(boxes, _opened)), deeper)
 
 
-def _below(records: DataFrame, kept: list[str], keep: Callable[[Column], Column], shape: Callable[[Column], Column]) -> DataFrame:
+def _below(records: DataFrame, kept: list[str], keep: Callable[[Column], Column], shape: Callable[[Column], Column], toward: Callable[[Column], Column] = lambda o: F.lit(True)) -> DataFrame:
     """kept columns and one row for all that `keep` keeps below the records' boxes, at any depth. A path is dotted keys; lists add nothing."""
     boxes, found = records.select(*kept, F.array("box").alias("boxes")), None
     while True:
-        got = materialise(boxes.select(*kept, _all_below(F.col("boxes"), STRIDE, keep, shape).alias("x")))
+        got = materialise(boxes.select(*kept, _all_below(F.col("boxes"), STRIDE, keep, shape, toward).alias("x")))
         rows = got.select(*kept, F.inline("x.out"))
         found = rows if found is None else found.unionByName(rows)
         boxes = got.where(F.size("x.rest") > 0).select(*kept, F.col("x.rest").alias("boxes"))
@@ -175,12 +175,20 @@ def _evidence(feeds: DataFrame, files: DataFrame, steps: DataFrame) -> DataFrame
     wanted = pairs.select("at", F.lit(0).alias("side"), F.col("old").alias("top")).unionByName(pairs.select("at", F.lit(1).alias("side"), F.col("new").alias("top"))).distinct()
     named = files.where("prev_file is not null").join(wanted.select("at").distinct(), "at")
     asked = named.select(F.col("prev_file").alias("file_name"), "at", F.lit(0).alias("side")).unionByName(named.select("file_name", "at", F.lit(1).alias("side")))
+    asked = asked.join(wanted.groupBy("at", "side").agg(F.collect_set("top").alias("tops")), ["at", "side"])  # the changed fields of a file
     lines = feeds.select("file_name", "payload").join(asked, "file_name").withColumn("line_hash", F.xxhash64("payload"))
     v = F.col("box.v")
     ident = F.coalesce(_get(v, "$.id.value", "string"), _bound(_get(v, "$.id"), lambda i: F.when(_kind(i).isin("string", "number"), _get(i, "$", "string"))))
-    records = _line_records(lines.select("at", "side", "line_hash", "payload"), "at", "side", "line_hash").select("at", "side", "line_hash", "n", "box", F.lower(F.trim(ident)).alias("rid")).where("rid <> ''")
+    records = _line_records(lines, "at", "side", "tops", "line_hash").select("at", "side", "tops", "line_hash", "n", "box", F.lower(F.trim(ident)).alias("rid")).where("rid <> ''")
     kept = ["at", "side", "rid", "line_hash", "n"]
-    scalars = _below(records, kept, lambda o: o["kind"].isin("string", "boolean", "number"), lambda o: F.struct(o["path"].alias("path"), F.to_json(o["v"]).alias("text")))
+
+    def within(o: Column) -> Column:
+        return F.exists("tops", lambda t: (o["path"] == t) | o["path"].startswith(F.concat(t, F.lit("."))))
+
+    def toward(o: Column) -> Column:
+        return within(o) | F.exists("tops", lambda t: t.startswith(F.concat(o["path"], F.lit("."))))
+
+    scalars = _below(records, [*kept, "tops"], lambda o: o["kind"].isin("string", "boolean", "number") & within(o), lambda o: F.struct(o["path"].alias("path"), F.to_json(o["v"]).alias("text")), toward)
     texts = scalars.where("text <> '\"\"'")
     steps_of = F.split("path", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(steps_of)), lambda i: F.array_join(F.slice(steps_of, F.lit(1), i), "."))
