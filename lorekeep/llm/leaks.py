@@ -53,7 +53,7 @@ class _Codes:
     """Template and literal code of a word; the cache is emptied when it is full."""
 
     def __init__(self, plain: np.ndarray) -> None:
-        self.plain, self.known = plain, {}
+        self.plain, self.known = plain.tobytes(), {}
 
     def __call__(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
@@ -67,7 +67,10 @@ class _Codes:
         return both[:, 0], both[:, 1]
 
     def kind(self, w: str) -> int:
-        return _UNIT if w in UNITS else _NUMBER if any(c.isdigit() for c in w) else 0 if _has(self.plain, np.array([_hash(w)], dtype=np.uint64), WORD_BITS)[0] else _NAME
+        if (found := self.known.get(w)) is not None:
+            return 0 if found[0] == found[1] else found[0]
+        at = _hash(w) & ((1 << WORD_BITS) - 1)
+        return _UNIT if w in UNITS else _NUMBER if any(c.isdigit() for c in w) else 0 if self.plain[at >> 3] >> (at & 7) & 1 else _NAME
 
     def windows(self, ws: list[str]) -> np.ndarray:
         """Hashes of the windows of a text: of their templates, or of their words where fewer than PLAIN are plain."""
