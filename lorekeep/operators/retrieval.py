@@ -6,7 +6,7 @@ give each query's best ones before anything is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,44 +65,125 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY
     """The k rows with the highest cosine to each query: qid, id, similarity, rank. Exact.
 
     `rows`: id bigint, vector; `queries`: qid bigint, vector. Vectors that are null, zero, hold NaN or have another
-    dimension than the query's match nothing. Ties go by id. Each partition keeps k rows a query.
+    dimension than the query's match nothing; queries of several dimensions are answered side by side. Ties go by id.
+    Each partition keeps k rows a query; of a batch only what reaches a query's k-th best is sorted.
     """
     spark = rows.sparkSession
     found = None
-    total = queries.count()
-    for part in range(max(1, -(-total // block))):
-        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-total // block)))) == part) if total > block else queries
-        pdf = own.where("vector is not null").toPandas()
-        dims = pdf["vector"].map(len).max() if len(pdf) else 0
-        pdf = pdf[pdf["vector"].map(len) == dims]
-        q = np.stack(pdf["vector"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 0))
-        with np.errstate(all="ignore"):
-            q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q
-        sent = spark.sparkContext.broadcast((pdf["qid"].to_numpy(np.int64) if len(pdf) else np.zeros(0, np.int64), q))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, dims=dims) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            qids, q = sent.value
-            ids, best = np.zeros((len(qids), 0), dtype=np.int64), np.zeros((len(qids), 0))
+    blocks = max(1, -(-queries.count() // block))
+    for part in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == part) if blocks > 1 else queries
+        pdf = own.where("vector is not null").toPandas()  # a block of queries
+        asked = {}
+        for dims, group in pdf.groupby(pdf["vector"].map(len)) if len(pdf) else ():
+            q = np.stack(group["vector"].to_numpy()).astype(np.float64)
+            with np.errstate(all="ignore"):
+                asked[int(dims)] = (group["qid"].to_numpy(np.int64), q / np.linalg.norm(q, axis=1, keepdims=True))
+        sent = spark.sparkContext.broadcast(asked)
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            best = pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "similarity": np.zeros(0)})
             for pdf in batches:
-                pdf = pdf[pdf["vector"].map(lambda v: v is not None and len(v) == dims)]
-                if not len(pdf) or not len(qids):
-                    continue
-                m = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-                with np.errstate(all="ignore"):
-                    sims = q @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
-                sims = np.where(np.isnan(sims), -np.inf, np.round(sims, 6))
-                ids = np.concatenate([ids, np.broadcast_to(pdf["id"].to_numpy(np.int64), sims.shape)], axis=1)
-                best = np.concatenate([best, sims], axis=1)
-                order = np.lexsort((ids, -best), axis=1)[:, :k]
-                ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
-            fine = best > -np.inf
-            yield pd.DataFrame({"qid": np.broadcast_to(qids[:, None], best.shape)[fine], "id": ids[fine], "similarity": best[fine]})
+                size = pdf["vector"].map(lambda v: -1 if v is None else len(v))
+                for dims, (qids, q) in sent.value.items():
+                    mine = pdf[size == dims]
+                    if not len(mine):
+                        continue
+                    m = np.stack(mine["vector"].to_numpy()).astype(np.float64)
+                    with np.errstate(all="ignore"):
+                        sims = q @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
+                    sims = np.where(np.isnan(sims), -np.inf, np.round(sims, 6))
+                    least = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(q), -np.inf)
+                    i, j = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+                    best = pd.concat([best, pd.DataFrame({"qid": qids[i], "id": mine["id"].to_numpy(np.int64)[j], "similarity": sims[i, j]})])
+                best = best.sort_values(["qid", "similarity", "id"], ascending=[True, False, True]).groupby("qid").head(k)
+            yield best
 
         out = rows.select("id", "vector").mapInPandas(run, "qid bigint, id bigint, similarity double")
         found = out if found is None else found.unionByName(out)
     return top_k(found, "qid", [F.desc("similarity"), F.asc("id")], k)
 
 
+def similarity_of(rows: DataFrame, queries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The cosine of given rows to their queries: `wanted` (qid, id, ...) with `similarity`; rows without a vector have none and are left out.
+
+    `rows`: id, vector; `queries`: qid, vector. Vectors of other dimensions or without length give null. All in the JVM.
+    """
+    a, b = rows.select("id", F.col("vector").alias("_a")), queries.select("qid", F.col("vector").alias("_b"))
+    both = wanted.join(a.where("_a is not null"), "id").join(b.where("_b is not null"), "qid")
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+    def dot(x: str, y: str) -> Column:
+        return total(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")))
+
+    length = F.sqrt(dot("_a", "_a")) * F.sqrt(dot("_b", "_b"))
+    return both.withColumn("similarity", F.when((F.size("_a") == F.size("_b")) & (length > 0), F.round(dot("_a", "_b") / length, 6))).drop("_a", "_b")
+
+
+def reranked(ranked: DataFrame, score: Callable[[pd.Series, pd.Series], pd.Series] | None, pool: int = 300) -> DataFrame:
+    """The best `pool` rows of each query (qid, id, relevance, query, text) by another model's score, in `relevance`.
+
+    `score` takes two series of texts, queries and rows, and gives one of numbers; it is called with batches on the
+    executors. Without one, or where it fails or gives another number of scores for any row of a query, the query's rows
+    keep their relevance.
+    """
+    best = top_k(ranked, "qid", [F.desc("relevance"), F.asc("id")], pool).drop("rank")
+    if score is None:
+        return best
+
+    @F.pandas_udf("double")
+    def run(query: pd.Series, text: pd.Series) -> pd.Series:
+        try:
+            got = pd.Series(score(query, text), dtype="float64")
+        except Exception:  # the order stays as it was
+            got = pd.Series([], dtype="float64")
+        return got.set_axis(query.index) if len(got) == len(query) else pd.Series([None] * len(query), dtype="float64", index=query.index)
+
+    scored = materialise(best.withColumn("_score", run(F.coalesce("query", F.lit("")), F.coalesce("text", F.lit("")))))
+    whole = scored.groupBy("qid").agg(F.bool_and(F.col("_score").isNotNull() & ~F.isnan("_score")).alias("_whole"))
+    return scored.join(whole, "qid").withColumn("relevance", F.when(F.col("_whole"), F.col("_score")).otherwise(F.col("relevance"))).drop("_score", "_whole")
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, k: int = 20, others: dict[str, DataFrame] | None = None, rerank: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
+    """The whole search: BM25 and nearest vectors (and further rankings), fused with shared ranks, rescored, weighed by kind and age.
+
+    `docs`: id bigint, text, vector, kind, at, now (the moment of the search), bias is that of a year; null at counts as
+    now. `queries`: qid bigint, text, vector. `others`: further rankings by name (qid, id, rank), such as
+    `graph_candidates`. Each list is 50 deep, 300 with a reranker. A query that only vectors answer keeps the cosine as
+    its relevance. Out: qid, id, score, rank and the signals: a rank for each list, similarity (also of rows that only
+    other lists found; null without a vector), fused, relevance.
+    """
+    depth = 300 if rerank else 50
+    rows = docs.where("vector is not null").select("id", "vector")
+    asked = queries.where("vector is not null").select("qid", "vector")
+    lists = {"vector_rank": nearest(rows, asked, depth), "lexical_rank": bm25(docs.select("id", "text"), queries.select("qid", "text"), depth), **(others or {})}
+    lists = {n: materialise(x.select("qid", "id", F.col("rank").cast("bigint").alias("rank"))) for n, x in lists.items()}
+    every = None
+    for name, x in lists.items():
+        part = x.select("qid", "id", "rank", F.lit(name).alias("list"))
+        every = part if every is None else every.unionByName(part)
+    signals = materialise(every.groupBy("qid", "id").agg(*[F.min(F.when(F.col("list") == n, F.col("rank"))).alias(n) for n in lists]))
+    texts = materialise(docs.join(signals.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    used = every.groupBy("qid").agg(F.countDistinct("list").alias("lists"), F.bool_or(F.col("list") != "vector_rank").alias("fusing"))
+    shared = None
+    for name, x in lists.items():
+        part = shared_ranks(x.join(texts, "id", "left")).select("qid", "id", (1.0 / (RRF_K + 1.0 + F.col("rank"))).alias("s"), F.lit(name == "vector_rank").alias("v"))
+        shared = part if shared is None else shared.unionByName(part)
+    # the vector list always counts among the lists, found or not; others only where they found something
+    lists_of = used.join(every.where("list = 'vector_rank'").select("qid").distinct().withColumn("has", F.lit(1)), "qid", "left").select("qid", "fusing", (F.col("lists") + F.when(F.col("has").isNull(), 1).otherwise(0)).alias("lists"))
+    fused = shared.groupBy("qid", "id").agg(F.sum("s").alias("s")).join(lists_of, "qid").select("qid", "id", "fusing", F.round(F.col("s") / (F.col("lists") / (RRF_K + 1.0)), 6).alias("fused"))
+    near = similarity_of(rows, asked, signals.select("qid", "id"))
+    found = fused.join(near, ["qid", "id"], "left").join(signals, ["qid", "id"]).withColumn("relevance", F.when(F.col("fusing"), F.col("fused")).otherwise(F.coalesce("similarity", F.lit(0.0))))
+    found = found.join(texts, "id").join(queries.select("qid", F.col("text").alias("query")), "qid")
+    best = reranked(found, rerank)
+    meta = docs.select("id", "kind", "at", "now").join(signals.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    scored = best.join(meta, "id").withColumn("score", F.round(combined_score(F.col("relevance"), F.col("kind"), F.coalesce("at", "now"), F.col("now"), 1.0), 5))
+    out = top_k(scored, "qid", [F.desc("score"), F.desc_nulls_last("at"), F.asc("id")], k)
+    return out.select("qid", "id", "score", "rank", *lists, "similarity", "fused", "relevance")
+
+
 def shared_ranks(ranked: DataFrame) -> DataFrame:
     """Adjacent rows of one text share a rank: `ranked` (qid, id, text, rank) with rank replaced by the run's first position."""
     w = Window.partitionBy("qid").orderBy("rank")

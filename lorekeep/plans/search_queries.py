@@ -26,6 +26,32 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
 SQL["hybrid_search"] = f"WITH x AS ({MEMORY_SQL['rrf_hybrid']}), s AS (SELECT qid, id, round((0.7 * score + 0.3 * 0.8) * exp(-1.0 * greatest(0, floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(coalesce(updated_at, TIMESTAMP '{NOW}'))) / 86400000000)) / 365.0), 5) AS score, updated_at FROM x JOIN documents ON doc_id = id) SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, updated_at DESC NULLS LAST, id) - 1 AS rank FROM s QUALIFY rank < 20"
 
 
+def hybrid_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """BM25 and vectors over documents fused, weighed and cut at 20, with each result's signals.
+
+    A document's vector is the embedding of its number, an item's likewise; items are those whose id is divisible by 50.
+    """
+    e = table(spark, folder, "embeddings").groupBy(F.col("vec_id").cast("bigint").alias("id")).agg(F.first("embedding").alias("vector"))
+    d = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("document").alias("kind"), F.col("updated_at").alias("at"), F.expr(f"TIMESTAMP_NTZ '{NOW}'").alias("now"))
+    q = table(spark, folder, "eval_items").where("item_id % 50 = 0").select(F.col("item_id").alias("qid"), "text")
+    return V.hybrid(d.join(e, "id", "left"), q.join(e.withColumnRenamed("id", "qid"), "qid", "left")).drop("relevance")
+
+
+def _hybrid_sql() -> str:
+    lexical = MEMORY_SQL["bm25_topk"].replace("rank < 20", "rank < 50")
+    cosine = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6)"
+    return f"""WITH lx AS (SELECT qid, id, rank FROM ({lexical}) l), nr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) - 1 rank FROM (SELECT q.vec_id qid, e.vec_id id, {cosine} s FROM embeddings q JOIN eval_items ON item_id = q.vec_id AND item_id % 50 = 0, embeddings e JOIN documents ON doc_id = e.vec_id) QUALIFY rank < 50),
+ev AS (SELECT 1 k, * FROM nr UNION ALL SELECT 2, * FROM lx), tx AS (SELECT doc_id id, min(text) t FROM documents GROUP BY 1),
+ch AS (SELECT k, qid, id, rank, CASE WHEN rank = 0 OR t IS DISTINCT FROM lag(t) OVER (PARTITION BY k, qid ORDER BY rank) THEN rank END st FROM ev LEFT JOIN tx USING (id)), sh AS (SELECT k, qid, id, rank, max(st) OVER (PARTITION BY k, qid ORDER BY rank) rk FROM ch),
+fu AS (SELECT qid, id, min(rank) FILTER (WHERE k = 1) vector_rank, min(rank) FILTER (WHERE k = 2) lexical_rank, sum(1.0 / (61.0 + rk)) s FROM sh GROUP BY ALL), us AS (SELECT qid, 1 + max(CASE WHEN k = 2 THEN 1 ELSE 0 END) n FROM ev GROUP BY qid),
+si AS (SELECT fu.*, n, {cosine} similarity, round(s / (n / 61.0), 6) fused FROM fu JOIN us USING (qid) LEFT JOIN embeddings q ON q.vec_id = qid LEFT JOIN embeddings e ON e.vec_id = id),
+sc AS (SELECT si.*, updated_at, round((0.7 * CASE WHEN n > 1 THEN fused ELSE coalesce(similarity, 0) END + 0.3 * 0.8) * exp(-1.0 * greatest(0, floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(coalesce(updated_at, TIMESTAMP '{NOW}'))) / 86400000000)) / 365.0), 5) score FROM si JOIN documents ON doc_id = id)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, updated_at DESC NULLS LAST, id) - 1 AS rank, vector_rank, lexical_rank, similarity, fused FROM sc QUALIFY rank < 20"""
+
+
+SQL["hybrid_signals"] = _hybrid_sql()
+
+
 def related_content(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors of other labels among the 20 nearest, for every vector whose id is divisible by 50."""
     e = table(spark, folder, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("vector"), "label")
@@ -85,4 +111,4 @@ def structured_context(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL["structured_context"] = VALID_SQL + " SELECT session_id, CASE update_type WHEN 'decision_made' THEN 'decisions' WHEN 'qa' THEN 'questions' WHEN 'concept_defined' THEN 'concepts' WHEN 'requirement_added' THEN 'specs' ELSE 'flow' END AS list, count(*) AS items FROM rec JOIN val USING (id) WHERE valid_to IS NULL GROUP BY ALL"
 
-QUERIES = {f.__name__: f for f in (hybrid_search, related_content, index_filter, multi_get, document_history, word_overlaps, structured_context)}
+QUERIES = {f.__name__: f for f in (hybrid_search, hybrid_signals, related_content, index_filter, multi_get, document_history, word_overlaps, structured_context)}

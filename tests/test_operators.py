@@ -304,3 +304,20 @@ def test_positions_over_parts(spark):
     want = sorted(df.collect(), key=lambda r: (r.g, r.k, r.i))
     assert [(r.g, r.k, r.i) for r in got] == [(r.g, r.k, r.i) for r in want]
     assert [r.before for r in got] == [None if n == 0 or want[n - 1].g != r.g else want[n - 1].i for n, r in enumerate(want)]
+
+
+def test_reranker_and_its_failure(spark):
+    rows = spark.createDataFrame([(1, i, 1.0 - i / 10, "q", "x" * i) for i in range(4)], "qid bigint, id bigint, relevance double, query string, text string")
+    best = lambda score: [r.id for r in sorted(retrieval.reranked(rows, score).collect(), key=lambda r: (-r.relevance, r.id))]
+    assert best(None) == [0, 1, 2, 3]
+    assert best(lambda q, t: t.str.len()) == [3, 2, 1, 0]
+    assert best(lambda q, t: 1 / 0) == [0, 1, 2, 3] and best(lambda q, t: [1.0]) == [0, 1, 2, 3]
+
+
+def test_nearest_of_several_dimensions(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [2.0, 0.0])], "id bigint, vector array<double>")
+    queries = spark.createDataFrame([(10, [1.0, 0.0]), (11, [1.0, 0.0, 0.0]), (12, None), (13, [1.0])], "qid bigint, vector array<double>")
+    got = sorted((r.qid, r.id, r.similarity, r["rank"]) for r in retrieval.nearest(rows, queries, 2).collect())
+    assert got == [(10, 1, 1.0, 0), (10, 6, 1.0, 1), (11, 3, 1.0, 0)]
+    wanted = spark.createDataFrame([(10, 2), (10, 3), (10, 4), (10, 6), (10, 5)], "qid bigint, id bigint")
+    assert {(r.id, r.similarity) for r in retrieval.similarity_of(rows, queries, wanted).collect()} == {(2, 0.0), (3, None), (6, 1.0), (5, None)}
