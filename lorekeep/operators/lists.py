@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.operators.ordering import numbered
@@ -50,6 +50,11 @@ def transform_items(df: DataFrame, fields: dict[str, tuple[str, str | None]]) ->
     return df.select(*out)
 
 
+def transform_value(spark: SparkSession, value: dict, schema: str, fields: dict[str, tuple[str, str | None]]) -> dict:
+    """`transform_items` of one value, which has the columns of `schema`: one record."""
+    return transform_items(spark.createDataFrame([value], schema), fields).first().asDict()
+
+
 def sort_items(df: DataFrame, order: str, by: Column, descending: bool = False) -> DataFrame:
     """Rows with `position` from 0 in the stable order by `by`; ties stay in the order of `order`, descending too.
 
@@ -122,6 +127,11 @@ def failure_summary(violations: DataFrame, shown: int = 20) -> DataFrame:
     return first.crossJoin(more).select(F.when(F.col("n") > shown, F.concat(text, F.lit("; and "), (F.col("n") - shown).cast("string"), F.lit(" more"))).otherwise(text).alias("summary"), F.col("n").alias("violations"))
 
 
+def validate_value(spark: SparkSession, value: dict, schema: str, rules: list[Rule]) -> list[dict]:
+    """`validate_items` of one value, which has the columns of `schema`: its violations."""
+    return [r.asDict() for r in validate_items(spark.createDataFrame([value], schema).withColumn("_index", F.lit(0)), "_index", rules).drop("index").collect()]  # of one row
+
+
 def partition_items(df: DataFrame, index: str, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
     """The rows that break no rule, and the others with their `violations` (path, rule, message)."""
     broken = [F.when(~(F.coalesce(r.holds, F.lit(True)) if r.name != "required" else r.holds), F.struct(F.lit(r.path).alias("path"), F.lit(r.name).alias("rule"), F.lit(r.message).alias("message"))) for r in rules]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.sources.scratch import materialise
+from lorekeep.sources.scratch import materialise, release
 
 
 def numbered(df: DataFrame, *keys: Column | str) -> DataFrame:
@@ -18,7 +18,9 @@ def numbered(df: DataFrame, *keys: Column | str) -> DataFrame:
     sizes = parts.groupBy("_part").count()  # a row a part
     before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return parts.join(F.broadcast(before), "_part").withColumn("at", (F.col("_before") + rank).cast("bigint")).drop("_part", "_before")
+    out = parts.join(F.broadcast(before), "_part").withColumn("at", (F.col("_before") + rank).cast("bigint")).drop("_part", "_before")
+    out._lorekeep_path = parts._lorekeep_path  # released by who writes the result
+    return out
 
 
 def with_previous(df: DataFrame, group: list[str], order: list[str], previous: dict[str, str]) -> DataFrame:
@@ -27,10 +29,14 @@ def with_previous(df: DataFrame, group: list[str], order: list[str], previous: d
     It is `lag` over a window of the group: rows are numbered as in `numbered`, each part is one window of its own, and
     only the first row of a part looks at the last of the part before.
     """
-    rows = materialise(numbered(df, *group, *order))
+    counted = numbered(df, *group, *order)
+    rows = materialise(counted)
+    release(counted)
     ahead = rows.select((F.col("at") + 1).alias("at"), *[F.col(g).alias(f"_{g}") for g in group], *[F.col(c).alias(n) for c, n in previous.items()])
     joined = rows.join(ahead, "at", "left")
     same = F.lit(True)
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
-    return joined.select(*rows.columns, *[F.when(same, F.col(n)).alias(n) for n in previous.values()])
+    out = joined.select(*rows.columns, *[F.when(same, F.col(n)).alias(n) for n in previous.values()])
+    out._lorekeep_path = rows._lorekeep_path
+    return out

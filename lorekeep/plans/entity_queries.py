@@ -180,4 +180,27 @@ def set_items(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL["set_items"] = "SELECT o_orderkey, o_orderpriority, CAST(o_totalprice AS DOUBLE) * 2.0 AS o_totalprice, CAST(o_totalprice AS DOUBLE) > 100000.0 AS large FROM orders"
 
-QUERIES = {f.__name__: f for f in (entities_in_texts, query_context, similarity_labels, workspace_slugs, parsed_times, redacted_blocks, task_progress, board_order, radar_open, document_page, entity_listing, entity_detail, risk_ranks, checked_records, set_items)}
+def entity_network(spark: SparkSession, folder: str) -> DataFrame:
+    """The network of two hops around the first entity by name that has relations: at most 15 entities and 20 relations."""
+    edges = materialise(graph.edges_of(materialise(records_of(spark, folder)), table(spark, folder, "entities")))
+    center = edges.agg(F.min("src")).first()[0] or ""  # one name
+    return graph.network(center, edges, 2, 15, 20)
+
+
+SQL["entity_network"] = (
+    EDGES_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1)
+    + """, bo AS (SELECT src s, dst d FROM edge UNION SELECT dst, src FROM edge), w AS (SELECT (SELECT min(src) FROM edge) n, 0 h UNION SELECT d, h + 1 FROM w JOIN bo ON s = n WHERE h < 2), nd AS (SELECT n, min(h) h FROM w WHERE n IS NOT NULL GROUP BY n ORDER BY 2, 1 LIMIT 15),
+r AS (SELECT src, dst, type, row_number() OVER (ORDER BY least(a.h, b.h), src, dst, type) AS place FROM edge JOIN nd a ON a.n = src JOIN nd b ON b.n = dst) SELECT * FROM r WHERE place <= 20"""
+)
+
+
+def removed_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Relations when all entities of little importance in the store are removed."""
+    e = table(spark, folder, "entities")
+    edges = graph.edges_of(materialise(records_of(spark, folder)), e)
+    return graph.without(edges, e.where("importance < 0.3")).select("src", "dst", "type")
+
+
+SQL["removed_entities"] = EDGES_SQL + ", g AS (SELECT name FROM entities WHERE importance < 0.3 AND name IS NOT NULL) SELECT src, dst, type FROM edge WHERE src NOT IN (FROM g) AND dst NOT IN (FROM g)"
+
+QUERIES = {f.__name__: f for f in (entities_in_texts, query_context, similarity_labels, workspace_slugs, parsed_times, redacted_blocks, task_progress, board_order, radar_open, document_page, entity_listing, entity_detail, risk_ranks, checked_records, set_items, entity_network, removed_entities)}

@@ -138,7 +138,7 @@ def stream_once(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     log = f"{shared_folder(spark)}/lorekeep/log-{uuid.uuid4().hex}"
     e.unionByName(e).repartition(4).write.parquet(f"{log}/data")
-    rows = S.once(S.follow(spark, f"{log}/data", e.schema).withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts", "3650 days")
+    rows = S.once(S.follow(spark, f"{log}/data", e.schema).withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts", "7 days")
     rows.writeStream.format("parquet").option("path", f"{log}/out").option("checkpointLocation", f"{log}/at").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{log}/out").groupBy("event_type").agg(F.count("*").alias("events"))
 

@@ -26,6 +26,13 @@ def triggered(events: DataFrame, name: str, kind: str, where: Column | None = No
     return out.where(where) if where is not None else out
 
 
+def holds_rows(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder exists and holds a Parquet file; an error of the file system is raised, not taken for an empty folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(system.exists(path)) and any(f.getPath().getName().endswith(".parquet") for f in system.listStatus(path))
+
+
 def watch(events: DataFrame, since: Column, at: str, ident: str, sink: str, checkpoint: str, once_only: bool = True) -> StreamingQuery:
     """Catches up from `since`, then follows: writes each unseen id once to the Parquet folder `sink`.
 
@@ -35,11 +42,7 @@ def watch(events: DataFrame, since: Column, at: str, ident: str, sink: str, chec
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.where(F.col(at) >= since).dropDuplicates([ident])
-        try:
-            sent = spark.read.parquet(sink).select(ident)
-        except Exception:  # nothing was written yet
-            sent = None
-        out = fresh.join(sent, ident, "left_anti") if sent is not None else fresh
+        out = fresh.join(spark.read.parquet(sink).select(ident), ident, "left_anti") if holds_rows(spark, sink) else fresh
         out.withColumn("_batch", F.lit(number)).write.mode("append").parquet(sink)
 
     writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -55,3 +55,16 @@ def test_json_paths(spark):
         assert [r[0] for r in df.select(X.json_path(F.col("j"), path)).collect()] == [want, None, None], path
     with pytest.raises(X.ExpressionError):
         X.json_path(F.col("j"), "$..a")
+
+
+def test_one_value(spark):
+    assert L.transform_value(spark, {"a": 2, "b": "x"}, "a bigint, b string", {"n": ("bigint", "a + 1"), "t": ("string", None)}) == {"n": 3, "t": ""}
+    rules = [*L.constraint("b", min_bytes=3, type="string"), *L.constraint("a", maximum=1, required=True)]
+    assert [v["rule"] for v in L.validate_value(spark, {"a": 2, "b": "é"}, "a bigint, b string", rules)] == ["min_bytes", "maximum"]
+    assert L.validate_value(spark, {"a": None, "b": None}, "a bigint, b string", rules)[0]["rule"] == "required"
+
+
+def test_valid_and_invalid_rows(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3]), (2, [1]), (3, None)], "i int, v array<int>")
+    good, bad = L.partition_items(df, "i", L.constraint("v", max_items=2))
+    assert sorted(r.i for r in good.collect()) == [2, 3] and [(r.i, r.violations[0].rule) for r in bad.collect()] == [(1, "max_items")]
