@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators.hierarchy import close_links, hierarchy
 from lorekeep.operators.ordering import with_previous
-from lorekeep.sources.scratch import materialise
+from lorekeep.sources.scratch import materialise, release
 
 #: Spellings of roles; stops that are no answer.
 ROLES = {"user": ["user", "human"], "assistant": ["assistant", "ai", "agent", "model"]}
@@ -97,7 +97,7 @@ def _key(session: str = "session_id", turn: Column | str = "turn_id") -> Column:
 
 def assigned(t: DataFrame) -> DataFrame:
     """`turns` with `conv`: the own conversation or that of the nearest ancestor with one; turns of none are left out."""
-    t = materialise(t)
+    t = t if hasattr(t, "_lorekeep_path") else materialise(t)
     loose = t.where("own is null and parent is not null").select(_key().alias("id"), _key("session_id", "parent").alias("up"), F.lit(1).cast("bigint").alias("far"))
     ends = close_links(loose).where("mark = 0").select("id", "root")
     owners = t.where("own is not null").select(_key().alias("root"), F.col("own").alias("conv"))
@@ -140,17 +140,21 @@ def conversations(messages: DataFrame) -> DataFrame:
     Runs of turns with one follower each are contracted to segments first, so the tree whose paths are listed has a node
     a fork, and no turn gets a path of its own: the work is that of the rows that come out.
     """
-    t = materialise(assigned(turns(messages)))
-    kept = defects(t).where("defect is null").select("session_id", "conv")
+    raw = materialise(turns(messages))
+    t = materialise(assigned(raw))
+    release(raw)
+    kept = materialise(defects(t).where("defect is null").select("session_id", "conv"))
     own = t.join(kept, ["session_id", "conv"]).select("session_id", "conv", "turn_id", "parent", "speaker", "seq")
     linked = with_previous(own, ["session_id", "conv"], ["seq", "turn_id"], {"turn_id": "before"})
-    group = F.concat_ws("\u0001", "session_id", "conv")
-    linked = materialise(linked.select(_key().alias("id"), F.when(F.coalesce("parent", "before").isNotNull(), _key("session_id", F.coalesce("parent", "before"))).alias("parent"), group.alias("grp"), "session_id", "conv", "turn_id", "speaker", "seq"))
+    group = F.xxhash64("session_id", "conv").cast("string")  # says what probably belongs together, no more
+    lagged, linked = linked, materialise(linked.select(_key().alias("id"), F.when(F.coalesce("parent", "before").isNotNull(), _key("session_id", F.coalesce("parent", "before"))).alias("parent"), group.alias("grp"), "session_id", "conv", "turn_id", "speaker", "seq"))
+    release(t, kept, lagged)
     followers = linked.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("followers"))
     forks = followers.where("followers > 1").select(F.col("id").alias("parent"), F.lit(True).alias("fork"))
     within = linked.where("parent is not null").join(forks, "parent", "left").select("id", F.when(F.col("fork").isNull(), F.col("parent")).alias("parent"), "grp")
     runs = hierarchy(within.unionByName(linked.where("parent is null").select("id", "parent", "grp"))).where("depth >= 0").select("id", F.col("root_id").alias("segment"), F.col("depth").alias("offset"))
     placed = materialise(linked.join(runs, "id").join(followers, "id", "left").select(*linked.columns, "segment", "offset", F.coalesce("followers", F.lit(0)).alias("followers")))
+    release(linked)
     heads = placed.where("offset = 0").select("id", "parent", "grp")
     above = placed.where("followers > 1").select(F.col("id").alias("parent"), F.col("segment").alias("up"))
     tree = heads.where("parent is not null").join(above, "parent", "left").select("id", F.coalesce("up", "parent").alias("parent"), "grp").unionByName(heads.where("parent is null"))
