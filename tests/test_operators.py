@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import redact, text
 from lorekeep.operators import boards, graph, retrieval, temporal
 from lorekeep.sources import archive
+from lorekeep.sources.scratch import materialise
 from lorekeep.streaming import streams
 
 T0 = datetime(2026, 1, 1)
@@ -187,6 +188,61 @@ def test_graph_candidates_follow_relations_and_entities(spark):
         assert {r.id: round(r.score, 8) for r in got if r.qid == qid} == {k: round(float(v), 8) for k, v in zip("abcde", rank) if v > 0}
 
 
+def test_graph_steps_shuffle_nothing(spark):
+    docs = materialise(spark.createDataFrame([(str(i), [f"w{i % 40}", f"v{i % 25}"], [f"e{i % 30}"]) for i in range(200)], "id string, terms array<string>, entities array<string>"))
+    queries = spark.createDataFrame([(1, ["w1"], []), (2, [], ["e2"])], "qid int, terms array<string>, entities array<string>")
+    relations = materialise(spark.createDataFrame([("e1", "e2", 0.4), ("e2", "e5", 1.0)], "src string, dst string, weight double"))
+    tracker, stages = spark.sparkContext.statusTracker(), {}
+    for steps in (5, 15):
+        spark.sparkContext.setJobGroup(f"graph-{steps}", "")
+        assert retrieval.graph_candidates(docs, queries, steps=steps, relations=relations).count()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"graph-{steps}")]
+        stages[steps] = sum(len(j.stageIds) for j in jobs)
+    spark.sparkContext.setJobGroup("", "")
+    assert stages[15] - stages[5] == 10  # a scan a step
+
+
+def test_graph_candidates_in_blocks_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rnd = random.Random(5)
+    docs = [(i, sorted({f"w{rnd.randrange(90)}" for _ in range(rnd.randrange(4))}) or None, [f"e{rnd.randrange(12)}"] if i % 3 else None) for i in range(120)]
+    docs += [(900 + i, ["w1", "w2"], None) for i in range(2)]  # tied
+    queries = [(f"q{n}", [f"w{rnd.randrange(90)}" for _ in range(3)] + ["none"], [f"e{n}", None]) for n in range(5)] + [("no", ["none"], None)]
+    relations = [(f"e{rnd.randrange(12)}", f"e{rnd.randrange(14)}", rnd.choice([0.4, 0.8, 1.0])) for _ in range(20)]
+    monkeypatch.setattr(retrieval, "GRAPH_BLOCK", 2)
+    got = retrieval.graph_candidates(
+        spark.createDataFrame(docs, "id bigint, terms array<string>, entities array<string>").repartition(3),
+        spark.createDataFrame(queries, "qid string, terms array<string>, entities array<string>"),
+        k=20,
+        relations=spark.createDataFrame(relations, "src string, dst string, weight double").repartition(2),
+    ).collect()
+    on = {i: {"t" + t for t in ts or ()} | {"e" + e for e in es or ()} for i, ts, es in docs}
+    df = {k: sum(k in ks for ks in on.values()) for ks in on.values() for k in ks}
+    df = {k: n for k, n in df.items() if n <= max(int(0.05 * len(docs)), 2)}
+    keys = [*on, *df]
+    at = {k: n for n, k in enumerate(keys)}
+    m = np.zeros((len(keys), len(keys)))
+    for i, ks in on.items():
+        for k in ks & set(df):
+            m[at[i], at[k]] = m[at[k], at[i]] = 1
+    for a, b, w in relations:
+        if a != b and {"e" + a, "e" + b} <= set(df):
+            m[at["e" + a], at["e" + b]] += w
+            m[at["e" + b], at["e" + a]] += w
+    part = m / np.maximum(m.sum(axis=1, keepdims=True), 1e-300)
+    for qid, ts, es in queries:
+        seed = np.zeros(len(keys))
+        for k in {"t" + t for t in ts} | {"e" + e for e in es or () if e}:
+            if k in df:
+                seed[at[k]] = 1 / df[k]
+        rank = seed = seed / max(seed.sum(), 1e-300)
+        for _ in range(30):
+            rank = 0.5 * seed + 0.5 * rank @ part
+        best = sorted(((-round(float(rank[at[i]]), 12), str(i)) for i in on if rank[at[i]] > 0))[:20]
+        assert [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.qid == qid] == [(i, round(-s, 9)) for s, i in best]
+
+
 def test_graph_ranked_takes_all_steps(spark, data, monkeypatch):
     from lorekeep.plans import report_queries
 
@@ -321,3 +377,11 @@ def test_nearest_of_several_dimensions(spark):
     assert got == [(10, 1, 1.0, 0), (10, 6, 1.0, 1), (11, 3, 1.0, 0)]
     wanted = spark.createDataFrame([(10, 2), (10, 3), (10, 4), (10, 6), (10, 5)], "qid bigint, id bigint")
     assert {(r.id, r.similarity) for r in retrieval.similarity_of(rows, queries, wanted).collect()} == {(2, 0.0), (3, None), (6, 1.0), (5, None)}
+
+
+def test_graph_candidates_of_nothing(spark):
+    cols = "terms array<string>, entities array<string>"
+    some, none = spark.createDataFrame([(1, ["x"], None)], f"id int, {cols}"), spark.createDataFrame([(2, [], None)], f"id int, {cols}")
+    asked = spark.createDataFrame([(7, ["x"], None)], f"qid int, {cols}")
+    assert [tuple(r) for r in retrieval.graph_candidates(some, asked).collect()] == [(7, "1", pytest.approx(1 / 3), 0)]
+    assert retrieval.graph_candidates(none, asked).count() == retrieval.graph_candidates(some, asked.where("qid = 0")).count() == 0
